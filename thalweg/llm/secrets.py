@@ -20,6 +20,7 @@ from dataclasses import dataclass
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
 
 from .common import id_and_text
 
@@ -118,11 +119,10 @@ def added_spans(text: str, base: list[tuple[int, int, int]], model: MarkovRatio,
     return out
 
 
-def scan(docs: DataFrame, samples: list[tuple[str, int]] | None = None, threshold: float = THRESHOLD, redact: str | None = None) -> DataFrame:
-    """doc_id, counts by kind, base_sha256 and spans of each row; with redact, also the text with its spans replaced."""
+def scan(docs: DataFrame, samples: list[tuple[str, int]] | None = None, threshold: float = THRESHOLD) -> DataFrame:
+    """doc_id, counts by kind, base_sha256 and spans of each row."""
     model = MarkovRatio.train(samples if samples is not None else labelled_samples())
-    fields = [("doc_id", pa.int64()), ("n_assign", pa.int64()), ("n_access", pa.int64()), ("n_hex", pa.int64()), ("n_markov", pa.int64()), ("base_sha256", pa.string()), ("spans", pa.string())] + [("redacted", pa.string())] * (redact is not None)
-    schema = pa.schema(fields)
+    schema = pa.schema([("doc_id", pa.int64()), ("n_assign", pa.int64()), ("n_access", pa.int64()), ("n_hex", pa.int64()), ("n_markov", pa.int64()), ("base_sha256", pa.string()), ("spans", pa.string())])
 
     def scanned(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -132,12 +132,29 @@ def scan(docs: DataFrame, samples: list[tuple[str, int]] | None = None, threshol
                 base = base_spans(text)
                 spans = sorted(base + added_spans(text, base, model, threshold))
                 n = [sum(k == i for _, k, _ in spans) for i in range(4)]
-                row = [doc_id.as_py(), *n, hashlib.sha256(said(base).encode()).hexdigest(), said(spans)]
-                rows.append(row + [without(text, spans, redact)] if redact is not None else row)
+                rows.append((doc_id.as_py(), *n, hashlib.sha256(said(base).encode()).hexdigest(), said(spans)))
             yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*rows, strict=True) if rows else [[]] * len(schema), schema, strict=True)], schema=schema)
 
     kinds = {pa.int64(): "long", pa.string(): "string"}
-    return id_and_text(docs).mapInArrow(scanned, ", ".join(f"{n} {kinds[t]}" for n, t in fields))
+    return id_and_text(docs).mapInArrow(scanned, ", ".join(f"{f.name} {kinds[f.type]}" for f in schema))
+
+
+def redacted(docs: DataFrame, mark: str, samples: list[tuple[str, int]] | None = None, threshold: float = THRESHOLD) -> DataFrame:
+    """The rows of documents with their secrets replaced by the mark, and n_chars counted anew where a text changed."""
+    model = MarkovRatio.train(samples if samples is not None else labelled_samples())
+
+    def clean(text: str | None) -> str | None:
+        if text is None:
+            return None
+        base = base_spans(text)
+        spans = sorted(base + added_spans(text, base, model, threshold))
+        return without(text, spans, mark) if spans else text
+
+    replaced = F.pandas_udf(lambda texts: texts.map(clean), "string").asNondeterministic()(F.col("text"))  # evaluated once a row
+    new = docs.select("*", replaced.alias("_thalweg_text"))
+    changed = ~F.col("text").eqNullSafe(F.col("_thalweg_text"))
+    own = {"text": F.col("_thalweg_text"), "n_chars": F.when(changed, F.length("_thalweg_text")).otherwise(F.col("n_chars")).cast("long")} if "n_chars" in docs.columns else {"text": F.col("_thalweg_text")}
+    return new.select(*[own[c].alias(c) if c in own else F.col(f"`{c}`") for c in docs.columns])
 
 
 def without(text: str, spans: list[tuple[int, int, int]], mark: str) -> str:

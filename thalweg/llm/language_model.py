@@ -87,6 +87,11 @@ def _runs(sorted_: np.ndarray) -> np.ndarray:
     return np.flatnonzero(np.concatenate([[True], sorted_[1:] != sorted_[:-1]])) if len(sorted_) else np.zeros(0, np.int64)
 
 
+def _place(words: np.ndarray) -> str:
+    """The type of places among the words."""
+    return "<u2" if len(words) <= 1 << 16 else "<u4"
+
+
 def _write(path: str, name: str, arrays: dict[str, np.ndarray]) -> None:
     where, root = fs.FileSystem.from_uri(path)
     where.create_dir(root)
@@ -220,7 +225,7 @@ def train(docs: DataFrame, chosen: Column | None = None) -> Model:
                 if a < b:  # words once, pairs by their places
                     words, at = np.unique(np.concatenate([v[a:b], w[a:b]]), return_inverse=True)
                     order = np.lexsort((at[b - a :], at[: b - a]))
-                    out.append((k, words.tobytes(), at[: b - a][order].astype("<u4").tobytes(), at[b - a :][order].astype("<u4").tobytes(), count[a:b][order].astype("<u4").tobytes()))
+                    out.append((k, words.tobytes(), at[: b - a][order].astype(_place(words)).tobytes(), at[b - a :][order].astype(_place(words)).tobytes(), count[a:b][order].astype("<u4").tobytes()))
             yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*out, strict=True), [pa.int32()] + [pa.binary()] * 4, strict=True)], names=["part", "words", "v", "w", "n"])
 
     def merged(t: pa.Table) -> pa.Table:

@@ -231,7 +231,8 @@ def train(docs: DataFrame, chosen: Column | None = None) -> Model:
     def merged(t: pa.Table) -> pa.Table:
         vs, ws, ns = [], [], []
         for row in zip(*(t[c] for c in ("words", "v", "w", "n")), strict=True):
-            words, v, w, n = (np.frombuffer(x.as_buffer(), d) for x, d in zip(row, ("<u8", "<u4", "<u4", "<u4"), strict=True))
+            words, n = np.frombuffer(row[0].as_buffer(), "<u8"), np.frombuffer(row[3].as_buffer(), "<u4")
+            v, w = (np.frombuffer(x.as_buffer(), _place(words)) for x in row[1:3])
             vs.append(words[v])
             ws.append(words[w])
             ns.append(n)

@@ -145,86 +145,6 @@ def train(docs: DataFrame, labels: DataFrame, fold: tuple[int, int] | None = Non
     return Weights(bias, {r["f"]: by_hash[xxhash.xxh64_intdigest(r["f"])] for r in spelling})
 
 
-def score(self, text: str) -> float:
-        z = self.bias
-        if self.of:
-            known = self.of.keys()
-            words = set(WORDS(text.lower()))
-            found = words & known
-            for n in BEGINNINGS:
-                found |= {w[:n] + "*" for w in words if len(w) > n} & known
-            z += sum(map(self.of.__getitem__, sorted(found)))
-        return float(1 / (1 + np.exp(-np.clip(z, -40, 40))))
-
-
-def features(words: set[str]) -> set[str]:
-    return words.union(*({w[:n] + "*" for w in words if len(w) > n} for n in BEGINNINGS))
-
-
-def fit(positive: list[set[str]], unlabelled: list[set[str]], prior: float, steps: int = 400, rate: float = 0.1, decay: float = 2e-4) -> Weights:
-    """Full-batch non-negative risk with the logistic loss over the presence of features that positives prefer."""
-    if not positive or not unlabelled or not 0 < prior < 1:
-        return Weights()
-    p_df, u_df = Counter(f for x in positive for f in x), Counter()
-    for x in unlabelled:
-        u_df.update(x & p_df.keys())
-    n_p, n_u = len(positive), len(unlabelled)
-    least = max(2, 0.002 * n_p)
-    z = {f: (a / n_p - u_df[f] / n_u) / np.sqrt((a + u_df[f] + 1) / (n_p + n_u) * (1 / n_p + 1 / n_u)) for f, a in p_df.items() if a >= least and (a + 0.5) / n_p >= 2 * (u_df[f] + 0.5) / n_u}
-    names = sorted((f for f in z if z[f] > 3.5), key=lambda f: (-z[f], f))[:MAX_FEATURES]
-    if not names:
-        return Weights(bias=float(np.log(prior / (1 - prior))))
-    place = {f: k for k, f in enumerate(names)}
-    rows, cols = [], []
-    for k, x in enumerate(positive + unlabelled):
-        own = [place[f] for f in x & place.keys()]
-        rows += [k] * len(own)
-        cols += own
-    r, c, n = np.array(rows, np.int64), np.array(cols, np.int64), n_p + n_u
-    w = np.zeros(len(names) + 1)
-    w[-1] = np.log(prior / (1 - prior))
-    m, v = np.zeros_like(w), np.zeros_like(w)
-    share = np.concatenate([np.full(n_p, prior / n_p), np.full(n_u, 1 / n_u)])
-    is_p = np.arange(n) < n_p
-    for step in range(1, steps + 1):
-        s = 1 / (1 + np.exp(-np.clip(np.bincount(r, w[c], n) + w[-1], -40, 40)))
-        loss = np.where(is_p, -1, 1) * share * -np.log(np.maximum(1 - s, 1e-12))
-        if loss.sum() < 0:  # the corrected negative risk must not be negative: climb back
-            g = -np.where(is_p, -1, 1) * share * s
-        else:
-            g = share * np.where(is_p, -1, s)  # d/dz of: prior*l(+) on positives, l(-) on unlabelled, less prior*l(-) on positives
-        grad = np.append(np.bincount(c, g[r], len(names)), g.sum()) + decay * np.append(w[:-1], 0)
-        m, v = 0.9 * m + 0.1 * grad, 0.999 * v + 0.001 * grad**2
-        w -= rate * (m / (1 - 0.9**step)) / (np.sqrt(v / (1 - 0.999**step)) + 1e-8)
-    return Weights(float(w[-1]), dict(zip(names, w[:-1].tolist(), strict=True)))
-
-
-def train(docs: DataFrame, labels: DataFrame, fold: tuple[int, int] | None = None) -> Weights:
-    """Weights from the documents and labels outside the fold (modulus, held-out remainder of crc32)."""
-    text = id_and_text(docs)
-    known = labels.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("toxic").cast("int").alias("toxic")).where("doc_id is not null and toxic is not null").groupBy("doc_id").agg(F.max("toxic").alias("toxic"))
-    ids = text.select("doc_id").where("doc_id is not null")
-    if fold:
-        known, ids = known.where(crc_mod("doc_id", fold[0]) != fold[1]), ids.where(crc_mod("doc_id", fold[0]) != fold[1])
-    n, toxic = known.agg(F.count("*"), F.sum("toxic")).first()
-    if not n or not toxic:
-        return Weights()
-    some = lambda df, most: df.select("doc_id").distinct().orderBy(F.xxhash64("doc_id"), "doc_id").limit(most)
-    chosen = some(known.where("toxic = 1"), MAX_POSITIVE).withColumn("kind", F.lit(1)).unionByName(some(ids, MAX_UNLABELLED).withColumn("kind", F.lit(0)))
-    # Broadcast: MAX_POSITIVE + MAX_UNLABELLED rows at most.
-    sample = text.join(F.broadcast(chosen), "doc_id").select("kind", "text")
-
-    def words(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
-            yield pa.RecordBatch.from_arrays([b.column(0), pa.array([" ".join(sorted(set(WORDS(x.as_py().lower())))) for x in b.column(1)], pa.string())], names=["kind", "words"])
-
-    got = sample.mapInArrow(words, "kind int, words string").toArrow()
-    kinds, texts = got["kind"].to_pylist(), got["words"].to_pylist()
-    order = sorted(range(len(kinds)), key=lambda k: texts[k])  # the same fit whatever order the rows come in
-    sets = [[features(set(texts[k].split())) for k in order if kinds[k] == kind] for kind in (1, 0)]
-    return fit(*sets, prior=toxic / n)
-
-
 def score(docs: DataFrame, weights: Weights) -> DataFrame:
     """doc_id and score of each row, from its whole text."""
     schema = pa.schema([("doc_id", pa.int64()), ("score", pa.float64())])

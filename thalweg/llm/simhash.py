@@ -210,7 +210,8 @@ def one_of_each(docs: DataFrame, errors: int = ERRORS, shingle: int = SHINGLE) -
     """
     groups = near_duplicates(docs, errors, shingle)
     kept = keep(groups.where("doc_id <=> component_id").groupBy("component_id").agg(F.count("*").alias("rows")), "kept")
-    rows = docs.join(kept.select(F.col("component_id").alias("_thalweg_id"), F.col("rows").alias("_thalweg_rows")), F.col("doc_id").eqNullSafe(F.col("_thalweg_id")))
+    # The ids that stay grow with the corpus: they are merged with the rows at every size, never broadcast.
+    rows = docs.join(kept.select(F.col("component_id").alias("_thalweg_id"), F.col("rows").alias("_thalweg_rows")).hint("merge"), F.col("doc_id").eqNullSafe(F.col("_thalweg_id")))
     alone = rows.where("_thalweg_rows = 1").select(docs.columns)
     if not kept.where("rows > 1").limit(1).count():
         return alone

@@ -89,6 +89,24 @@ def test_mixing_targets_and_reruns(spark, texts):
     assert mixing.mixed(table(spark, texts)).count() == sum(r["times"] for r in rows)
 
 
+def test_mixing_repeats_and_clashing_names(spark):
+    sources = ["a", "b", None]
+    rows = [(7, "one two three", sources[k % 3], k, k, k) for k in range(60)] + [(None, None, "d", 0, 0, 0)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, source string, row int, _source int, `a.b` int")
+    taken, mixed = mixing.mix(docs).collect(), mixing.mixed(docs)
+    assert mixed.columns == docs.columns and mixed.count() == sum(r.times for r in taken)
+    for s in sources:  # equal rows are split one by one
+        own = [r for r in taken if r.source == s]
+        assert len(own) == 20 and abs(sum(r.taken for r in own) - own[0].target) <= 1.5 + 1e-6 and max(r.times for r in own) - min(r.times for r in own) <= 1
+    assert [(r.size, r.taken) for r in taken if r.source == "d"] == [(0, 0)]
+
+
+def test_mixing_merges_where_the_sources_are_not_small(spark, texts, monkeypatch):
+    want = sorted((r.doc_id, r.times) for r in mixing.mix(table(spark, texts)).collect())
+    monkeypatch.setattr(mixing, "BROADCAST_BYTES", -1)
+    assert sorted((r.doc_id, r.times) for r in mixing.mix(table(spark, texts)).collect()) == want
+
+
 def test_packing_round_trip(spark, texts):
     import public_tokenizers
     from tokenizers import Tokenizer
@@ -166,6 +184,8 @@ def test_licenses(spark):
     changed = "Copyright (c) 2020 Someone\n\n" + mit.replace("sublicense", "sub-licence").upper()
     rows = licenses.scan(table(spark, [changed, mit + " more", None, "Released under the MIT Licence!"])).orderBy("doc_id").collect()
     assert [r.license for r in rows] == ["MIT", None, None, "MIT notice"] and rows[2].digest is None
+    said = licenses.scan(table(spark, ["Copyright 2020 A", "copyright 2020, a", "(c) B\nx", "X", " \n--"])).orderBy("doc_id").collect()
+    assert said[0].digest == said[1].digest and said[2].digest == said[3].digest != said[0].digest and said[4].digest is None
 
 
 def test_toxicity_learns_from_positives_and_unlabelled(spark):

@@ -24,13 +24,15 @@ SPELLINGS = (
 #: A line that only says who holds the copyright.
 COPYRIGHT_LINE = r"(?m)^[^a-z0-9\n]*(copyright|\(c\)|©|portions copyright|all rights reserved)[^\n]*$"
 NOT_WORD = r"[^\p{L}\p{N}]+"
+WORD_SIGN = r"[\p{L}\p{N}]"
 
 
 def canonical(text: Column) -> Column:
     """The text's canonical form. A copyright line is dropped only where other lines remain to judge by."""
     low = F.lower(F.regexp_replace(text, "\r\n?", "\n"))
     rest = F.regexp_replace(low, COPYRIGHT_LINE, " ")
-    form = F.concat(F.lit(" "), F.trim(F.regexp_replace(rest, NOT_WORD, " ")), F.lit(" "))
+    judged = F.when(F.regexp_like(rest, F.lit(WORD_SIGN)), rest).otherwise(low)
+    form = F.concat(F.lit(" "), F.trim(F.regexp_replace(judged, NOT_WORD, " ")), F.lit(" "))
     for other, one in SPELLINGS:
         form = F.replace(form, F.lit(f" {other} "), F.lit(f" {one} "))
     return F.trim(form)
@@ -60,7 +62,9 @@ def oracle_sql() -> str:
     from .license_texts import TEXTS
 
     def form(text: str) -> str:
-        out = f"regexp_replace(lower(regexp_replace({text}, '\\r\\n?', chr(10), 'g')), '{COPYRIGHT_LINE}', ' ', 'g')"
+        low = f"lower(regexp_replace({text}, '\\r\\n?', chr(10), 'g'))"
+        rest = f"regexp_replace({low}, '{COPYRIGHT_LINE}', ' ', 'g')"
+        out = f"CASE WHEN regexp_matches({rest}, '{WORD_SIGN}') THEN {rest} ELSE {low} END"
         out = f"concat(' ', trim(regexp_replace({out}, '{NOT_WORD}', ' ', 'g')), ' ')"
         for other, one in SPELLINGS:
             out = f"replace({out}, ' {other} ', ' {one} ')"

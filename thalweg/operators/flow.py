@@ -7,6 +7,8 @@ closure of all pairs is never made, and the rounds grow with the logarithm of th
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -51,15 +53,16 @@ def links(coded: DataFrame, cols: int, periodic: bool = False) -> DataFrame:
     return coded.where(F.col("code") != NODATA).select("pix", "row", "col", "code", ((F.col("row") + dr) * cols + col).cast("long").alias("down"))
 
 
-def fold(flow: DataFrame, along: dict[str, str], above: dict[str, str], longest: str | None = None) -> DataFrame:
+def fold(flow: DataFrame, along: dict[str, str], above: dict[str, str], longest: str | None = None, start: str | None = None) -> DataFrame:
     """Of each pixel: root, hops, sums `along` its path down, sums `above` over its catchment (itself included).
 
     along: name to column summed over the pixels of the path that flow on. above: name to column summed over the
-    catchment. longest: a name of `along` whose greatest sum over the catchment becomes `up_<name>`. Raises on a cycle.
+    catchment. longest: a name of `along` whose greatest sum over the catchment becomes `up_<name>`, from `start` (a column) on if given.
+    Raises on a cycle.
     """
-    state = flow.select("pix", F.col("down").alias("jump"), F.coalesce("down", "pix").alias("root"), F.col("down").isNotNull().cast("long").alias("hops"), *[F.when(F.col("down").isNotNull(), F.col(c)).otherwise(0).cast("long").alias(n) for n, c in along.items()], *[F.col(c).cast("long").alias(n) for n, c in above.items()])
+    state = flow.select("pix", F.col("down").alias("jump"), F.coalesce("down", "pix").alias("root"), F.col("down").isNotNull().cast("long").alias("hops"), *[F.when(F.col("down").isNotNull(), F.col(c)).otherwise(0).cast("long").alias(n) for n, c in along.items()], *[F.col(c).cast("long").alias(n) for n, c in above.items()], *([F.col(start).cast("long").alias(f"up_{longest}")] if start else []))
     up = f"up_{longest}" if longest else None
-    if up:
+    if up and start is None:
         state = state.withColumn(up, F.lit(0).cast("long"))
     sums, tops = ["hops", *along], list(above)
     state = cut(state)
@@ -87,14 +90,15 @@ def main_donor(flow: DataFrame, size: str) -> DataFrame:
     return flow.where("down is not null").select("down", "pix", best.alias("k")).where("k = 1").drop("k")
 
 
-def strahler(flow: DataFrame, most: int = 254) -> DataFrame:
+def strahler(flow: DataFrame, most: int = 254, closure: Callable[..., DataFrame] = fold) -> DataFrame:
     """(pix, ord) over a network that is closed downstream: order k+1 is what lies below a pixel with two donors of order k."""
-    order = flow.select("pix", "down", F.lit(1).cast("long").alias("ord"))
+    tile = [c for c in ("tile", "down_tile") if c in flow.columns]
+    order = flow.select("pix", "down", *tile, F.lit(1).cast("long").alias("ord"))
     for k in range(1, most):
         met = order.where(F.col("ord") >= k).where("down is not null").groupBy(F.col("down").alias("pix")).agg(F.count("*").alias("n")).where("n >= 2").select("pix", F.lit(1).alias("seed"))
-        seeded = cut(order.join(met, "pix", "left").select("pix", "down", "ord", F.coalesce("seed", F.lit(0)).alias("seed")))
+        seeded = cut(order.join(met, "pix", "left").select("pix", "down", *tile, "ord", F.coalesce("seed", F.lit(0)).alias("seed")))
         if not seeded.where("seed = 1").limit(1).count():
             return order.select("pix", "ord")
-        below = fold(seeded, {}, {"seeds": "seed"}).select("pix", "seeds")
-        order = cut(seeded.join(below, "pix").select("pix", "down", F.when(F.col("seeds") > 0, k + 1).otherwise(F.col("ord")).cast("long").alias("ord")))
+        below = closure(seeded, {}, {"seeds": "seed"}).select("pix", "seeds")
+        order = cut(seeded.join(below, "pix").select("pix", "down", *tile, F.when(F.col("seeds") > 0, k + 1).otherwise(F.col("ord")).cast("long").alias("ord")))
     raise ValueError("an order above the greatest one allowed")

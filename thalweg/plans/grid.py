@@ -7,12 +7,14 @@ from functools import lru_cache
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from thalweg.operators import basins, flow
+from thalweg.operators import basins, flow, tiles
 from thalweg.sources.shared import cut
 
 COLS = 100
 STRAIGHT_CM, DIAGONAL_CM = 3000, 4243
 CHANNEL = 5
+#: Pixels of a tile's side.
+TILE = 512
 
 
 def surface(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -34,11 +36,17 @@ def links(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _links(spark, sf_dir)
 
 
+def tiled(links: DataFrame, side: int = TILE) -> DataFrame:
+    """links with the tiles of pix and of down."""
+    tile = lambda c: F.expr(f"{c} div {COLS} div {side} * 1000000 + {c} % {COLS} div {side}").cast("long")
+    return links.select("*", tile("pix").alias("tile"), tile("down").alias("down_tile"))
+
+
 @lru_cache(maxsize=4)
 def attributes(spark: SparkSession, sf_dir: str) -> DataFrame:
     """pix, row, col, code, down, root, hops, ldn (cm), up_count, up_area (m2) and lup (cm) of every land pixel."""
     own = links(spark, sf_dir).select("*", step_cm().alias("cm"), F.lit(1).alias("one"), (F.lit(900) + F.col("row") % 7).alias("area"))
-    found = flow.fold(own, {"ldn": "cm"}, {"up_count": "one", "up_area": "area"}, longest="ldn")
+    found = tiles.fold(tiled(own), {"ldn": "cm"}, {"up_count": "one", "up_area": "area"}, longest="ldn")
     return cut(links(spark, sf_dir).join(found.withColumnRenamed("up_ldn", "lup"), "pix"))
 
 

@@ -9,7 +9,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from thalweg.functions import earth
-from thalweg.operators import basins, flow
+from thalweg.operators import basins, flow, tiles
 from thalweg.plans import grid
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -108,6 +108,12 @@ def channel_breaks(spark, sf_dir):
     return c.where("down is not null").select("pix", "down").join(c.select(F.col("pix").alias("down")), "down", "left_anti").select("pix", "down")
 
 
+@query("SELECT pix, up_count, up_area, hops, ldn, root, lup FROM up JOIN attr USING (pix)")
+def exit_accumulation(spark, sf_dir):
+    own = grid.links(spark, sf_dir).select("*", grid.step_cm().alias("cm"), F.lit(1).alias("one"), (F.lit(900) + F.col("row") % 7).alias("area"))
+    return tiles.fold(grid.tiled(own, 16), {"ldn": "cm"}, {"up_count": "one", "up_area": "area"}, longest="ldn").withColumnRenamed("up_ldn", "lup")
+
+
 @query("SELECT pix, root FROM attr")
 def watershed_labels(spark, sf_dir):
     return grid.attributes(spark, sf_dir).select("pix", "root")
@@ -125,7 +131,7 @@ def basin_rank(spark, sf_dir):
 
 @query("SELECT ch.pix, count(*) AS shv FROM ch JOIN w ON w.cur = ch.pix JOIN heads ON heads.pix = w.src GROUP BY ch.pix")
 def shreve(spark, sf_dir):
-    return flow.fold(grid.channels(spark, sf_dir), {}, {"shv": "head"}).select("pix", "shv")
+    return tiles.fold(grid.tiled(grid.channels(spark, sf_dir)), {}, {"shv": "head"}).select("pix", "shv")
 
 
 def _strahler_sql() -> str:
@@ -137,7 +143,7 @@ def _strahler_sql() -> str:
 
 @query(_strahler_sql())
 def strahler(spark, sf_dir):
-    return flow.strahler(grid.channels(spark, sf_dir))
+    return flow.strahler(grid.tiled(grid.channels(spark, sf_dir)), closure=tiles.fold)
 
 
 @query("SELECT down, pix FROM donor WHERE k = 1")
@@ -149,7 +155,7 @@ def main_donor(spark, sf_dir):
 def hack(spark, sf_dir):
     a = grid.attributes(spark, sf_dir)
     minor = a.select("pix", "down").join(flow.main_donor(a, "up_count").select("pix", F.lit(0).alias("minor")), "pix", "left").select("pix", "down", F.coalesce("minor", F.lit(1)).alias("minor"))
-    return flow.fold(minor, {"turns": "minor"}, {}).select("pix", (F.col("turns") + 1).alias("hck"))
+    return tiles.fold(grid.tiled(minor), {"turns": "minor"}, {}).select("pix", (F.col("turns") + 1).alias("hck"))
 
 
 @query("SELECT pix, ldn FROM attr")
@@ -178,7 +184,7 @@ def longest_path_head(spark, sf_dir):
 @query(f"SELECT w.cur AS pix, h.root AS lfp FROM {_HEAD} h JOIN w ON w.src = h.pix")
 def longest_path_pixels(spark, sf_dir):
     own = grid.links(spark, sf_dir).select("pix", "down").join(_heads(spark, sf_dir).select("pix", F.lit(1).alias("head")), "pix", "left").select("pix", "down", F.coalesce("head", F.lit(0)).alias("head"))
-    return flow.fold(own, {}, {"heads": "head"}).where("heads > 0").select("pix", F.col("root").alias("lfp"))
+    return tiles.fold(grid.tiled(own), {}, {"heads": "head"}).where("heads > 0").select("pix", F.col("root").alias("lfp"))
 
 
 @query("SELECT ranked.basin_id, ranked.root AS outlet_pix, grid_count, max(attr.ldn) AS farthest_cm, max(CASE WHEN attr.pix = ranked.root THEN up.lup END) AS lup_at_outlet FROM ranked JOIN attr USING (root) JOIN up ON up.pix = attr.pix GROUP BY ALL")

@@ -5,14 +5,16 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from thalweg.operators.order import numbered
+
 
 def ranked(labelled: DataFrame) -> DataFrame:
     """basin_id 1..N by pixels falling, then outlet; counts and right-open boxes. labelled: pix, row, col, root.
 
-    The rank runs over the table of outlets, a small share of the pixels.
+    The order is made by ranges, so no partition holds all outlets.
     """
     stats = labelled.groupBy("root").agg(F.count("*").alias("grid_count"), F.min("row").alias("row_min"), (F.max("row") + 1).alias("row_max"), F.min("col").alias("col_min"), (F.max("col") + 1).alias("col_max"))
-    return stats.select(F.row_number().over(Window.orderBy(F.desc("grid_count"), "root")).cast("long").alias("basin_id"), F.col("root").alias("outlet_pix"), "grid_count", "row_min", "row_max", "col_min", "col_max")
+    return numbered(stats, "basin_id", F.desc("grid_count"), F.asc("root")).select("basin_id", F.col("root").alias("outlet_pix"), "grid_count", "row_min", "row_max", "col_min", "col_max")
 
 
 def vote(pixels: DataFrame) -> DataFrame:

@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 
 from thalweg.functions import earth
 from thalweg.operators import basins, flow, tiles
+from thalweg.operators.order import numbered
 from thalweg.plans import grid
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -255,7 +256,7 @@ def place_in_unit(spark, sf_dir):
 def global_basin_id(spark, sf_dir):
     r = basins.ranked(grid.attributes(spark, sf_dir)).select("basin_id", "grid_count")
     runs = r.select(F.lit(1).alias("run"), "*").unionByName(r.where("basin_id % 2 = 1").select(F.lit(2).alias("run"), "*"))
-    return runs.select("run", "basin_id", F.row_number().over(Window.orderBy(F.desc("grid_count"), "run", "basin_id")).alias("global_id"))
+    return numbered(runs, "global_id", F.desc("grid_count"), F.asc("run"), F.asc("basin_id")).drop("grid_count")
 
 
 @query("SELECT crow, ccol, basin_id FROM view")
@@ -291,3 +292,7 @@ def preview_decimate(spark, sf_dir):
 def hilbert_index(spark, sf_dir):
     cells = grid.labelled(spark, sf_dir).select(F.expr("row div 10").alias("crow"), F.expr("col div 10").alias("ccol")).distinct()
     return earth.with_hilbert(cells, "crow", "ccol", 11)
+
+
+# These add their own queries.
+from thalweg.plans import cutting, tables  # noqa: E402, F401

@@ -61,6 +61,45 @@ def block_ceil(x: Column, block: int) -> Column:
     return ((F.floor((x - 1) / block) + 1) * block).cast("long")
 
 
+def centre(row: Column, col: Column, north: float, west: float, size: float, cols: int, periodic: bool = False) -> tuple[Column, Column]:
+    """lat, lon of pixel centres; columns past the seam of a periodic grid count from its first."""
+    at = F.pmod(col, F.lit(cols)) if periodic else col
+    return north - (row + 0.5) * size, west + (at + 0.5) * size
+
+
+def box(row_min: Column, row_max: Column, col_min: Column, col_max: Column, north: float, west: float, size: float) -> tuple[Column, Column, Column, Column]:
+    """north, south, west, east of right-open boxes of pixels."""
+    return north - row_min * size, north - row_max * size, west + col_min * size, west + col_max * size
+
+
+def step_lengths_m(row: Column, north: float, size: float) -> dict[str, Column]:
+    """Lengths of the steps that start in a row: east or west, north, south, and the diagonals north and south."""
+    lat = north - (row + 0.5) * size
+    to = lambda up, side: distance_m(lat, F.lit(0.0), lat + up * size, F.lit(side * size))
+    return {"ew": to(0, 1), "n": to(1, 0), "s": to(-1, 0), "nd": to(1, 1), "sd": to(-1, 1)}
+
+
+def unrolled(boxes: DataFrame, cols: int) -> DataFrame:
+    """boxes with col_min, col_max (last columns) of objects that span over half a periodic grid taken from the frame that
+    is shifted by half (shift_min, shift_max), past the last column where need be; astride says which."""
+    half = cols // 2
+    astride = (F.col("col_max") - F.col("col_min") > half) & (F.col("col_max") > F.col("col_min"))
+    first = F.pmod(F.col("shift_min") - half, F.lit(cols))
+    kept = [c for c in boxes.columns if c not in ("col_min", "col_max", "shift_min", "shift_max")]
+    return boxes.select(*kept, F.when(astride, first).otherwise(F.col("col_min")).alias("col_min"), F.when(astride, first + F.col("shift_max") - F.col("shift_min")).otherwise(F.col("col_max")).alias("col_max"), astride.cast("int").alias("astride"))
+
+
+def integral(value: Column) -> Column:
+    """The value as a long; null where it is not finite, not whole or beyond 63 bits."""
+    v = value.cast("double")
+    return F.when(~F.isnan(v) & (F.abs(v) < 2.0**63) & (v == F.floor(v)), v.cast("decimal(38,0)").cast("long"))
+
+
+def region_order(region: Column) -> Column:
+    """Sorts regions by their unit, then by id: parts of four digits stand where their unit of two stands."""
+    return F.struct(F.when((region >= 100) & (region < 10000), F.floor(region / 100)).otherwise(region).cast("long"), F.when(region < 100, 0).otherwise(region).cast("long"))
+
+
 def with_hilbert(cells: DataFrame, row: str, col: str, order: int, name: str = "hilbert") -> DataFrame:
     """The place of each cell on a Hilbert curve of side 2^order, a projection a level."""
     out = cells.select("*", F.col(row).cast("long").alias("_r"), F.col(col).cast("long").alias("_c"), F.lit(0).cast("long").alias(name))

@@ -3,7 +3,11 @@
 from __future__ import annotations
 
 import json
+from collections.abc import Iterator
 
+import pyarrow as pa
+import pyarrow.fs as pafs
+import pyarrow.parquet as pq
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.types import DoubleType, FloatType, StructType
@@ -81,14 +85,29 @@ def write_pixels(pixels: DataFrame, path: str, side: int) -> None:
 
 
 def write_geoparquet(df: DataFrame, path: str, geometry_type: str, crs: dict | None = None) -> None:
-    """df with its column geometry (ISO WKB or null), zstd; each part's footer has the geo entry, put there by its writer."""
+    """df with its column geometry (ISO WKB or null) as GeoParquet 1.1, a file a partition: zstd, 65536 rows a row group.
+
+    Spark's writer can't put the geo entry into a footer, so each task writes its file, under a name of its own attempt
+    that becomes the part's in the end: a task that is run again replaces its own part. A partition is held whole by its
+    task. path is on a file system that all executors see, and must be empty.
+    """
     column = {"encoding": "WKB", "geometry_types": [geometry_type]} | ({"crs": crs} if crs else {})
     geo = json.dumps({"version": "1.1.0", "primary_column": "geometry", "columns": {"geometry": column}}, separators=(",", ":"))
-    # Parquet's writer takes extra entries of the footer from the conf only by class; the entry goes in a column's metadata,
-    # which Spark keeps in the footer's schema, and beside the parts for readers that want the plain key.
-    marked = df.withMetadata("geometry", {"geo": geo})
-    marked.write.option("compression", "zstd").parquet(path)
-
 
-def geo_of(spark: SparkSession, path: str) -> dict:
-    return json.loads(spark.read.parquet(path).schema["geometry"].metadata["geo"])
+    def write(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        from pyspark import TaskContext
+
+        held = list(batches)
+        fs, at = (pafs.FileSystem.from_uri(path) if "://" in path else (pafs.LocalFileSystem(), path))
+        fs.create_dir(at)
+        if held:
+            t, task = pa.Table.from_batches(held), TaskContext.get()
+            own = f"{at}/_part-{task.partitionId():05d}-{task.taskAttemptId()}"
+            with fs.open_output_stream(own) as out:
+                pq.write_table(t.replace_schema_metadata({"geo": geo}), out, compression="zstd", row_group_size=65536)
+            fs.move(own, f"{at}/part-{task.partitionId():05d}.parquet")
+        yield pa.RecordBatch.from_pydict({"rows": pa.array([sum(b.num_rows for b in held)], pa.int64())})
+
+    if df.sparkSession._jvm.org.apache.hadoop.fs.Path(path).getFileSystem(df.sparkSession._jsparkSession.sessionState().newHadoopConf()).exists(df.sparkSession._jvm.org.apache.hadoop.fs.Path(path)):
+        raise ValueError(f"{path} exists")
+    df.mapInArrow(write, "rows long").agg(F.sum("rows")).collect()

@@ -54,6 +54,21 @@ def test_simhash_links(spark, texts):
     assert sorted(r.doc_id for r in simhash.one_of_each(table(spark, texts)).collect()) == sorted(set(least))
 
 
+def test_one_of_each_goes_by_group(spark):
+    rng = random.Random(8)
+    a, b, c, d, e, f = (" ".join(rng.choices([f"v{k}" for k in range(500)], k=50)) for _ in range(6))
+    keep = lambda rows: sorted((r.doc_id is None, r.doc_id or 0, r.text) for r in simhash.one_of_each(spark.createDataFrame(rows, "doc_id long, text string, n int")).collect())
+    said = lambda *rows: sorted((k is None, k or 0, t) for k, t in rows)
+    # Unlike texts without an id, and copies of one of them.
+    assert keep([(None, a, 1), (None, b, 2), (None, c, 3), (None, c, 4), (9, d, 5)]) == said((None, a), (None, b), (None, c), (9, d))
+    # Without an id there is one row that no other matches.
+    assert keep([(None, a, 1), (9, d, 5)]) == said((None, a), (9, d))
+    # Unlike texts under one id, the smallest of both groups.
+    assert keep([(1, a, 1), (1, b, 2), (2, a, 3), (3, b, 4)]) == said((1, a), (1, b))
+    # An id that is the smallest of one group only: its row in the other group goes.
+    assert keep([(5, a, 1), (5, b, 2), (2, b, 3), (None, e, 4), (7, e, 5), (None, f, 6)]) == said((5, a), (2, b), (7, e), (None, f))
+
+
 def test_trie_join_equals_all_pairs():
     rng = np.random.default_rng(1)
     base = rng.integers(0, 1 << 63, 20, dtype=np.uint64)

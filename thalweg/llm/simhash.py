@@ -192,34 +192,43 @@ def links(distinct: DataFrame, rows: int, errors: int = ERRORS) -> DataFrame:
     return dealt.mapInArrow(joined, "u long, v long")
 
 
-def near_duplicates(docs: DataFrame, errors: int = ERRORS, shingle: int = SHINGLE) -> DataFrame:
-    """doc_id, fp and component_id of each row."""
+def _grouped(docs: DataFrame, errors: int, shingle: int) -> tuple[DataFrame, DataFrame]:
+    """doc_id and fp of each row; and of each distinct fp its group's root fingerprint and smallest id."""
     marked = keep(fingerprints(docs, shingle), "fingerprints")
     distinct = keep(marked.groupBy("fp").agg(F.min("doc_id").alias("first_id")), "distinct")
     star = stars(links(distinct, distinct.count(), errors))
     rooted = distinct.join(star.select(F.col("u").alias("fp"), F.col("v").alias("root")), "fp", "left").select("fp", "first_id", F.coalesce("root", "fp").alias("root"))
     least = rooted.groupBy("root").agg(F.min("first_id").alias("component_id"))
-    named = rooted.join(least, "root").select("fp", "component_id")
+    return marked, rooted.join(least, "root").select("fp", "root", "component_id")
+
+
+def near_duplicates(docs: DataFrame, errors: int = ERRORS, shingle: int = SHINGLE) -> DataFrame:
+    """doc_id, fp and component_id of each row."""
+    marked, named = _grouped(docs, errors, shingle)
     return marked.join(named, "fp").select("doc_id", "fp", "component_id")
 
 
 def one_of_each(docs: DataFrame, errors: int = ERRORS, shingle: int = SHINGLE) -> DataFrame:
-    """The row of each group's smallest id, with all its columns; of rows that share that id, the least text.
+    """One row of each group, with all its columns: that of the group's smallest id; of its rows that share that id, the least text.
 
-    Groups without any id keep their least text.
+    Groups without any id keep their least text. Groups are told apart by their root fingerprint, never by an id.
     """
-    groups = near_duplicates(docs, errors, shingle)
-    kept = keep(groups.where("doc_id <=> component_id").groupBy("component_id").agg(F.count("*").alias("rows")), "kept")
+    marked, named = _grouped(docs, errors, shingle)
+    named = keep(named, "named")
+    own_id = F.col("doc_id").eqNullSafe(F.col("component_id"))
+    # Rows are counted over all groups: an id that is the smallest of one may be in another too.
+    kept = keep(marked.join(named, "fp").groupBy("doc_id").agg(F.count("*").alias("rows"), F.bool_or(own_id).alias("first")).where("first"), "kept")
     # The ids that stay grow with the corpus: they are merged with the rows at every size, never broadcast.
-    rows = docs.join(kept.select(F.col("component_id").alias("_thalweg_id"), F.col("rows").alias("_thalweg_rows")).hint("merge"), F.col("doc_id").eqNullSafe(F.col("_thalweg_id")))
+    ids = kept.select(F.col("doc_id").alias("_thalweg_id"), F.col("rows").alias("_thalweg_rows")).hint("merge")
+    rows = docs.join(ids, F.col("doc_id").cast("long") == F.col("_thalweg_id"))
     alone = rows.where("_thalweg_rows = 1").select(docs.columns)
-    if not kept.where("rows > 1").limit(1).count():
+    if not kept.where("rows > 1 or doc_id is null").limit(1).count():
         return alone
-    # Ids that several rows share: the least row of each fingerprint under that id.
-    shared = rows.where("_thalweg_rows > 1").select(docs.columns)
+    # Ids that several rows share, and rows without one: the least row of each group, by the fingerprint of its text.
+    shared = rows.where("_thalweg_rows > 1").select(docs.columns).unionByName(docs.where(F.col("doc_id").cast("long").isNull()))
     marked = shared.withColumn("_thalweg_fp", F.pandas_udf(lambda t: t.fillna("").map(lambda x: np.uint64(fingerprint(x, shingle)).astype(np.int64)), "long")(F.col("text")))
-    ids = groups.where("doc_id <=> component_id").select(F.col("fp").alias("_thalweg_fp"), F.col("doc_id").alias("_thalweg_id")).distinct()
-    own = marked.join(ids, (marked["_thalweg_fp"] == ids["_thalweg_fp"]) & marked["doc_id"].eqNullSafe(ids["_thalweg_id"]), "left_semi").drop("_thalweg_fp")
+    roots = named.select(F.col("fp").alias("_thalweg_fp"), F.col("root").alias("_thalweg_root"), F.col("component_id").alias("_thalweg_id"))
+    own = marked.join(roots, "_thalweg_fp").where(F.col("doc_id").cast("long").eqNullSafe(F.col("_thalweg_id")))
     row = F.struct(F.coalesce("text", F.lit("")), *[F.col(f"`{c}`") for c, kind in docs.dtypes if not kind.startswith("map")])
-    least = own.groupBy("doc_id").agg(F.min_by(F.struct(*[F.col(f"`{c}`") for c in docs.columns]), row).alias("_thalweg_row"))
+    least = own.groupBy("_thalweg_root").agg(F.min_by(F.struct(*[F.col(f"`{c}`") for c in docs.columns]), row).alias("_thalweg_row"))
     return alone.unionByName(least.select("_thalweg_row.*"))

@@ -194,6 +194,40 @@ def test_language_model_sums_to_one_and_counts(spark, texts):
         assert rows[k].base_score == pytest.approx(sum(np.log10((count[w] + 1) / (model.tokens + model.words + 1)) for w in t))
 
 
+def test_language_model_of_each_order_equals_its_formula(spark, texts):
+    docs = table(spark, texts)
+    said = [[*(t or "").encode().lower().split(), None] for t in texts]
+    for order in (2, 3, 4):
+        model = language_model.train(docs, order=order)
+        count = [None, *(Counter() for _ in range(order))]
+        for t in said:
+            padded = ["start"] * (order - 1) + t
+            count[order].update(tuple(padded[k : k + order]) for k in range(len(t)))
+        for n in range(order - 1, 0, -1):
+            for g, c in count[n + 1].items():
+                count[n][g[1:]] += c if g[1] == "start" else 1
+        discount = [None] + [language_model.discounts([sum(c == k and not (n > 1 and g[1] == "start") for g, c in count[n].items()) for k in (1, 2, 3, 4)]) for n in range(1, order + 1)]
+        after = [{} for _ in range(order + 1)]
+        for n in range(1, order + 1):
+            for g, c in count[n].items():
+                after[n].setdefault(g[:-1], []).append(c)
+
+        def p(g):
+            n = len(g)
+            if not n:
+                return 1 / (len(count[1]) + 1)
+            d, follow, c = discount[n], after[n].get(g[:-1], []), count[n][g]  # noqa: B023
+            if not follow:
+                return p(g[1:])
+            return (max(c - (d[min(c, 3) - 1] if c else 0), 0) + sum(d[min(x, 3) - 1] for x in follow) * p(g[1:])) / sum(follow)
+
+        rows = {r.doc_id: r.score for r in language_model.score(docs, model).collect()}
+        for k, t in enumerate(said):
+            want = sum(np.log10(p(tuple((["start"] + t)[max(0, i + 2 - order) : i + 2]))) for i in range(len(t)))
+            assert rows[k] == pytest.approx(want, rel=1e-9)
+    assert language_model.train(docs).order == 3
+
+
 def test_licenses(spark):
     mit = dict(license_texts.TEXTS[:1])["MIT"]
     changed = "Copyright (c) 2020 Someone\n\n" + mit.replace("sublicense", "sub-licence").upper()

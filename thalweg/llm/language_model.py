@@ -1,16 +1,19 @@
-"""Language-model scores by interpolated modified Kneser-Ney over bigrams.
+"""Language-model scores by interpolated modified Kneser-Ney over n-grams, trigrams unless another order is asked.
 
-Counting: blocks of documents give their distinct bigrams with counts, dealt by the top bits of a hash of the bigram,
-so no frequent word gathers in one task. Each dealing merges its blocks, writes its bigrams' sorted hashes and counts
-as one file of the model, and sends on what its words add up to: how often a word occurs, after how many different
-words, and how many different words follow it once, twice and more often. Those sums, dealt by word hash, become sorted
-arrays too. Scoring is a map over documents whose workers memory-map the arrays, wherever the model is larger than
-memory, and look up each block's distinct words and bigrams in sorted order.
+Counting: blocks of documents give their distinct n-grams of the highest order with counts, dealt by the top bits of a
+hash of the n-gram, so no frequent word gathers in one task. Each dealing merges its blocks, writes its n-grams' sorted
+hashes and counts as one file of the model, and sends on what the next lower order needs, down to single words: for each
+n-gram without its first word, how often it occurs and after how many different words; for each without its last word,
+how many different words follow it once, twice and more often. Scoring is a map over documents whose workers memory-map
+the arrays, wherever the model is larger than memory, and look up each block's distinct n-grams in sorted order.
+
+Below the highest order counts are of different words before, but n-grams that begin at a document's start, which
+nothing precedes, count as they occur. A token's context never holds more than one start.
 
 The model lives in the folder that all executors share; where that is no mounted file system, a worker maps local
 copies of its files. The driver gathers a few sums for each dealing, no words.
 
-Hashes have 64 bits: two words or bigrams that share one count as the same. Null texts count as empty: the end token
+Hashes have 64 bits: two words or n-grams that share one count as the same. Null texts count as empty: the end token
 alone. Null ids, repeated rows and further columns change nothing; with no row to learn from every token has
 probability 1 over (V + 1) = 1.
 """
@@ -21,7 +24,7 @@ import atexit
 import os
 import shutil
 import tempfile
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from dataclasses import dataclass
 
 import numpy as np
@@ -34,6 +37,7 @@ from pyspark.sql import functions as F
 from .common import id_and_text, shared_path
 
 START, END = (np.uint64(xxhash.xxh64_intdigest(x)) for x in (b"  ", b" "))  # no word has white space
+ORDER = 3
 #: Tokens that a worker takes at once.
 BLOCK = 1_500_000
 LARGE = 255  # counts from here on are kept apart
@@ -71,11 +75,17 @@ def _blocks(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[list, np.ndarra
         yield ids, np.array([*map(len, parts)]), np.concatenate(parts)
 
 
-def _before(tokens: np.ndarray, lengths: np.ndarray) -> np.ndarray:
-    """The token before each, a start at each document's first."""
-    v = np.roll(tokens, 1)
-    v[np.cumsum(lengths) - lengths] = START
-    return v
+def _grams(tokens: np.ndarray, lengths: np.ndarray, order: int) -> np.ndarray:
+    """A column for each token: the tokens before it, starts where its document has none, and itself last."""
+    place = np.arange(len(tokens)) - np.repeat(np.cumsum(lengths) - lengths, lengths)
+    return np.stack([np.where(place >= k, np.roll(tokens, k), START) for k in range(order - 1, -1, -1)])
+
+
+def _hash(grams: np.ndarray) -> np.ndarray:
+    h = grams[0]
+    for w in grams[1:]:
+        h = _mix(h, w)
+    return h
 
 
 def _top(h: np.ndarray, bits: int) -> np.ndarray:
@@ -87,9 +97,43 @@ def _runs(sorted_: np.ndarray) -> np.ndarray:
     return np.flatnonzero(np.concatenate([[True], sorted_[1:] != sorted_[:-1]])) if len(sorted_) else np.zeros(0, np.int64)
 
 
-def _place(words: np.ndarray) -> str:
-    """The type of places among the words."""
-    return "<u2" if len(words) <= 1 << 16 else "<u4"
+def _narrow(a: np.ndarray) -> bytes:
+    """Counts in the fewest bytes that hold all of them."""
+    top = int(a.max()) if len(a) else 0
+    return a.astype(next(d for d in ("<u1", "<u2", "<u4", "<u8") if top <= np.iinfo(d).max)).tobytes()
+
+
+def _wide(b: pa.Scalar, n: int) -> np.ndarray:
+    buffer = b.as_buffer()
+    return np.frombuffer(buffer, f"<u{buffer.size // n}").astype(np.int64)
+
+
+def _summed(key: np.ndarray, *values: np.ndarray) -> tuple[np.ndarray, np.ndarray, list[np.ndarray]]:
+    """Distinct keys in order, a place of each, and the values' sums."""
+    order = np.argsort(key, kind="stable")
+    at = _runs(key[order])
+    return key[order[at]], order[at], [np.add.reduceat(v[order], at) if len(at) else np.zeros(0, np.int64) for v in values]
+
+
+#: What dealings send on. kind 0: n grams (words, places among them, raw counts, counts); kind 1: n contexts (hashes,
+#: sums of counts, how many words follow once, twice and more often); part -1: sums over an order.
+MESSAGE = pa.schema([("part", pa.int32()), ("kind", pa.int32()), ("n", pa.int64()), *[(c, pa.binary()) for c in "abcde"]])
+DDL = "part int, kind int, n long, a binary, b binary, c binary, d binary, e binary"
+
+
+def _sent(rows: list[tuple]) -> pa.Table:
+    return pa.table([pa.array(c, f.type) for c, f in zip(zip(*rows, strict=True) if rows else [[]] * len(MESSAGE), MESSAGE, strict=True)], schema=MESSAGE)
+
+
+def _dealt(grams: np.ndarray, h: np.ndarray, raw: np.ndarray, count: np.ndarray | None, bits: int) -> Iterator[tuple]:
+    """Messages of distinct grams with sorted hashes; without counts, they are the raw ones."""
+    cuts = np.searchsorted(_top(h, bits), np.arange((1 << bits) + 1))
+    for k, (a, b) in enumerate(zip(cuts[:-1], cuts[1:], strict=True)):
+        if a < b:  # words once, grams by their places
+            words, at = np.unique(grams[:, a:b], return_inverse=True)
+            at = at.reshape(len(grams), b - a)
+            order = np.lexsort(at[::-1])
+            yield k, 0, b - a, words.tobytes(), _narrow(at[:, order].ravel()), _narrow(raw[a:b][order]), b"" if count is None else _narrow(count[a:b][order]), b""
 
 
 def _write(path: str, name: str, arrays: dict[str, np.ndarray]) -> None:
@@ -142,61 +186,49 @@ def discounts(n: list[int]) -> tuple[float, float, float]:
 @dataclass(frozen=True)
 class Model:
     path: str
-    bits: int  # of a bigram hash that name its file
-    word_bits: int
+    order: int
+    bits: tuple[int, ...]  # of a hash that name its file, by order from 1
     tokens: int
     words: int
-    pairs: int
-    starts: int
-    pair_discounts: tuple[float, float, float]
-    word_discounts: tuple[float, float, float]
+    total: int  # of the counts of single words
+    discounts: tuple[tuple[float, float, float], ...]  # by order from 1
     word_rest: float
 
-    def look_up(self, h: np.ndarray) -> dict[str, np.ndarray]:
-        """Counts of words, by sorted hashes."""
+    def look_up(self, order: int, h: np.ndarray, kinds: tuple[str, ...]) -> list[np.ndarray]:
+        """Counts of n-grams of an order, by hashes."""
         root = _local(self.path)
-        out = {k: np.zeros(len(h), np.int64) for k in ("count", "before", "n1", "n2", "n3")}
-        cuts = np.searchsorted(_top(h, self.word_bits), np.arange((1 << self.word_bits) + 1))
+        h, back = np.unique(h, return_inverse=True)
+        out = [np.zeros(len(h), np.int64) for _ in kinds]
+        bits = self.bits[order - 1]
+        cuts = np.searchsorted(_top(h, bits), np.arange((1 << bits) + 1))
         for k, (a, b) in enumerate(zip(cuts[:-1], cuts[1:], strict=True)):
             if a < b:
-                at, there = _find(_map(root, f"w{k}", "hash", "<u8"), h[a:b])
-                for kind, dtype in (("count", "<u8"), ("before", "<u4"), ("n1", "<u4"), ("n2", "<u4"), ("n3", "<u4")):
-                    out[kind][a:b][there] = _map(root, f"w{k}", kind, dtype)[at[there]]
-        return out
-
-    def look_up_pairs(self, key: np.ndarray) -> np.ndarray:
-        root, out = _local(self.path), np.zeros(len(key), np.int64)
-        cuts = np.searchsorted(_top(key, self.bits), np.arange((1 << self.bits) + 1))
-        for k, (a, b) in enumerate(zip(cuts[:-1], cuts[1:], strict=True)):
-            if a < b:
-                at, there = _find(_map(root, f"p{k}", "hash", "<u8"), key[a:b])
+                at, there = _find(_map(root, f"{order}-{k}", "hash", "<u8"), h[a:b])
                 at = at[there]
-                c = _map(root, f"p{k}", "count", "u1")[at].astype(np.int64)
-                large = c == LARGE
-                if large.any():
-                    c[large] = _map(root, f"p{k}", "large_count", "<u8")[np.searchsorted(_map(root, f"p{k}", "large_at", "<u8"), at[large])]
-                out[a:b][there] = c
-        return out
+                for kind, o in zip(kinds, out, strict=True):
+                    c = _map(root, f"{order}-{k}", kind, "u1")[at].astype(np.int64)
+                    large = c == LARGE
+                    if large.any():
+                        c[large] = _map(root, f"{order}-{k}", f"{kind}_large", "<u8")[np.searchsorted(_map(root, f"{order}-{k}", f"{kind}_large_at", "<u8"), at[large])]
+                    o[a:b][there] = c
+        return [o[back] for o in out]
 
     def score(self, tokens: np.ndarray, lengths: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         """By document: tokens known, add-one score and the model's, both as log10."""
-        words, word_at = np.unique(np.concatenate([tokens, np.array([START])]), return_inverse=True)
-        of = self.look_up(words)
-        d = np.array([0.0, *self.word_discounts])
-        even = 1 / (self.words + 1)
-        lower = (np.maximum(of["before"] - d[np.minimum(of["before"], 3)], 0) / self.pairs + self.word_rest * even) if self.pairs else np.full(len(words), even)
-        context = np.where(words == START, self.starts, np.where(words == END, 0, of["count"]))
-        d = np.array([0.0, *self.pair_discounts])
-        rest = np.where(context > 0, (d[1] * of["n1"] + d[2] * of["n2"] + d[3] * of["n3"]) / np.maximum(context, 1), 1.0)
-        v = _before(tokens, lengths)
-        keys, key_at = np.unique(_mix(v, tokens), return_inverse=True)
-        c = self.look_up_pairs(keys)[key_at]
-        w_at = word_at[:-1]
         first = np.cumsum(lengths) - lengths
-        v_at = np.roll(w_at, 1)
-        v_at[first] = word_at[-1]
-        p = np.maximum(c - d[np.minimum(c, 3)], 0) / np.maximum(context[v_at], 1) + rest[v_at] * lower[w_at]
-        known = of["count"][w_at]
+        place = np.arange(len(tokens)) - np.repeat(first, lengths)
+        grams = _grams(tokens, lengths, self.order)
+        known, count = self.look_up(1, tokens, ("raw", "count"))
+        d = np.array([0.0, *self.discounts[0]])
+        even = 1 / (self.words + 1)
+        p = np.maximum(count - d[np.minimum(count, 3)], 0) / self.total + self.word_rest * even if self.total else np.full(len(tokens), even)
+        for order in range(2, self.order + 1):
+            own = grams[-order:]
+            (count,) = self.look_up(order, _hash(own), ("count",))
+            total, n1, n2, n3 = self.look_up(order - 1, _hash(own[:-1]), ("total", "n1", "n2", "n3"))
+            d = np.array([0.0, *self.discounts[order - 1]])
+            rest = np.where(total > 0, (d[1] * n1 + d[2] * n2 + d[3] * n3) / np.maximum(total, 1), 1.0)
+            p = np.where(place >= order - 2, np.maximum(count - d[np.minimum(count, 3)], 0) / np.maximum(total, 1) + rest * p, p)
         base = np.log10((known + 1) / (self.tokens + self.words + 1))
         return np.add.reduceat((known > 0).astype(np.int64), first), np.add.reduceat(base, first), np.add.reduceat(np.log10(p), first)
 
@@ -205,87 +237,84 @@ def _bits(parts: int) -> int:
     return max(2, int(np.ceil(np.log2(max(2, parts)))))
 
 
-def train(docs: DataFrame, chosen: Column | None = None) -> Model:
+def train(docs: DataFrame, chosen: Column | None = None, order: int = ORDER) -> Model:
     """The model of the chosen rows' whole texts."""
     spark = docs.sparkSession
-    bits = _bits(int(spark.conf.get("spark.sql.shuffle.partitions")))
-    word_bits = max(2, bits - 1)
+    most = _bits(int(spark.conf.get("spark.sql.shuffle.partitions")))
+    # The more words, the more n-grams differ: higher orders are dealt finer, each dealing into a worker's memory.
+    bits = tuple(max(2, most + min(k, 3) - 2) for k in range(1, order + 1))
     path = shared_path(spark, "language-model")
     text = id_and_text(docs)
     text = text if chosen is None else text.where(chosen)
 
-    def pairs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def counted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for _, lengths, w in _blocks(batches):
-            v = _before(w, lengths)
-            key, first, count = np.unique(_mix(v, w), return_index=True, return_counts=True)
-            v, w = v[first], w[first]
-            cuts = np.searchsorted(_top(key, bits), np.arange((1 << bits) + 1))
-            out = []
-            for k, (a, b) in enumerate(zip(cuts[:-1], cuts[1:], strict=True)):
-                if a < b:  # words once, pairs by their places
-                    words, at = np.unique(np.concatenate([v[a:b], w[a:b]]), return_inverse=True)
-                    order = np.lexsort((at[b - a :], at[: b - a]))
-                    out.append((k, words.tobytes(), at[: b - a][order].astype(_place(words)).tobytes(), at[b - a :][order].astype(_place(words)).tobytes(), count[a:b][order].astype("<u4").tobytes()))
-            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*out, strict=True), [pa.int32()] + [pa.binary()] * 4, strict=True)], names=["part", "words", "v", "w", "n"])
-
-    def merged(t: pa.Table) -> pa.Table:
-        vs, ws, ns = [], [], []
-        for row in zip(*(t[c] for c in ("words", "v", "w", "n")), strict=True):
-            words, n = np.frombuffer(row[0].as_buffer(), "<u8"), np.frombuffer(row[3].as_buffer(), "<u4")
-            v, w = (np.frombuffer(x.as_buffer(), _place(words)) for x in row[1:3])
-            vs.append(words[v])
-            ws.append(words[w])
-            ns.append(n)
-        v, w, n = np.concatenate(vs), np.concatenate(ws), np.concatenate(ns).astype(np.int64)
-        del vs, ws, ns
-        key = _mix(v, w)
-        order = np.argsort(key, kind="stable")
-        at = _runs(key[order])
-        n = np.add.reduceat(n[order], at)
-        key, v, w = key[order[at]], v[order[at]], w[order[at]]
-        large = np.flatnonzero(n >= LARGE)
-        _write(path, f"p{t['part'][0].as_py()}", {"hash": key.astype("<u8"), "count": np.minimum(n, LARGE).astype("u1"), "large_at": large.astype("<u8"), "large_count": n[large].astype("<u8")})
-        by_v, by_w = np.argsort(v, kind="stable"), np.argsort(w, kind="stable")
-        a, b = _runs(v[by_v]), _runs(w[by_w])
-        m = n[by_v]
-        h, place = np.unique(np.concatenate([v[by_v][a], w[by_w][b]]), return_inverse=True)
-        sums = np.zeros((5, len(h)), np.int64)
-        for k, x in enumerate((m == 1, m == 2, m >= 3)):
-            sums[k][place[: len(a)]] = np.add.reduceat(x.astype(np.int64), a)
-        sums[3][place[len(a) :]] = np.diff(np.append(b, len(w)))
-        sums[4][place[len(a) :]] = np.add.reduceat(n[by_w], b)
-        starts = int(n[v == START].sum())
-        cuts = np.searchsorted(_top(h, word_bits), np.arange((1 << word_bits) + 1))
-        out = [(k, h[x:y].tobytes(), *(s[x:y].astype(d).tobytes() for s, d in zip(sums, ("<u4", "<u4", "<u4", "<u4", "<u8"), strict=True))) for k, (x, y) in enumerate(zip(cuts[:-1], cuts[1:], strict=True)) if x < y]
-        rare = np.array([(n == 1).sum(), (n == 2).sum(), (n == 3).sum(), (n == 4).sum(), starts], "<i8").tobytes()
-        out.append((-1, rare, b"", b"", b"", b"", b""))
-        return pa.table({c: pa.array(x, pa.int32() if c == "part" else pa.binary()) for c, x in zip(("part", "h", "n1", "n2", "n3", "before", "count"), zip(*out, strict=True), strict=True)})
-
-    def summed(t: pa.Table) -> pa.Table:
+            grams = _grams(w, lengths, order)
+            h, at, (n,) = _summed(_hash(grams), np.ones(len(w), np.int64))
+            yield from _sent([*_dealt(grams[:, at], h, n, None, bits[-1])]).to_batches()
+
+    def merged(level: int, t: pa.Table) -> pa.Table:
         part = t["part"][0].as_py()
-        read = lambda c, d: np.concatenate([np.frombuffer(x.as_buffer(), d) for x in t[c]])
         if part < 0:
-            found = read("h", "<i8").reshape(-1, 5).sum(axis=0).tolist()
-        else:
-            h = read("h", "<u8")
-            order = np.argsort(h, kind="stable")
-            at = _runs(h[order])
-            sums = {c: np.add.reduceat(read(c, "<u8" if c == "count" else "<u4").astype(np.int64)[order], at) for c in ("n1", "n2", "n3", "before", "count")}
-            _write(path, f"w{part}", {"hash": h[order[at]].astype("<u8"), "count": sums["count"].astype("<u8")} | {c: sums[c].astype("<u4") for c in ("n1", "n2", "n3", "before")})
-            b = sums["before"]
-            found = [int(sums["count"].sum()), int((sums["count"] > 0).sum()), int(b.sum()), *(int((b == k).sum()) for k in (1, 2, 3, 4)), int((b >= 3).sum())]
-        return pa.table({"part": pa.array([part], pa.int32()), "found": pa.array([found], pa.list_(pa.int64()))})
-
-    found = (
-        text.mapInArrow(pairs, "part int, words binary, v binary, w binary, n binary")
-        .groupBy("part").applyInArrow(merged, "part int, h binary, n1 binary, n2 binary, n3 binary, before binary, count binary")
-        .groupBy("part").applyInArrow(summed, "part int, found array<long>")
-        .collect()  # a row for each of a few dealings
-    )
-    rare = next((r["found"] for r in found if r["part"] < 0), [0] * 5)
-    tokens, words, pairs_, m1, m2, m3, m4, m3up = (sum(r["found"][k] for r in found if r["part"] >= 0) for k in range(8))
+            return t
+        grams, raws, counts, contexts = [np.zeros((level, 0), np.uint64)], [np.zeros(0, np.int64)], [np.zeros(0, np.int64)], [[np.zeros(0, np.uint64), *[np.zeros(0, np.int64)] * 4]]
+        for kind, n, *cells in zip(*(t[c] for c in ("kind", "n", "a", "b", "c", "d", "e")), strict=True):
+            n = n.as_py()
+            head = np.frombuffer(cells[0].as_buffer(), "<u8")
+            if kind.as_py():
+                contexts.append([head, *(_wide(x, n) for x in cells[1:])])
+            else:
+                grams.append(head[_wide(cells[1], n * level)].reshape(level, n))
+                raws.append(_wide(cells[2], n))
+                counts.append(_wide(cells[3], n) if cells[3].as_buffer().size else raws[-1])
+        g, raw, count = np.concatenate(grams, axis=1), np.concatenate(raws), np.concatenate(counts)
+        del grams, raws, counts
+        h, at, (raw, count) = _summed(_hash(g), raw, count)
+        g = g[:, at]
+        c, _, sums = _summed(*(np.concatenate(x) for x in zip(*contexts, strict=True)))
+        del contexts
+        every = np.union1d(h, c) if len(c) else h
+        to_h, to_c = np.searchsorted(every, h), np.searchsorted(every, c)
+        files = {"count": (to_h, count)} | ({k: (to_c, v) for k, v in zip(("total", "n1", "n2", "n3"), sums, strict=True)} if level < order else {}) | ({"raw": (to_h, raw)} if level == 1 else {})
+        written = {"hash": every.astype("<u8")}
+        for kind, (to, v) in files.items():
+            whole = np.zeros(len(every), np.int64)
+            whole[to] = v
+            large = np.flatnonzero(whole >= LARGE)
+            written |= {kind: np.minimum(whole, LARGE).astype("u1"), f"{kind}_large_at": large.astype("<u8"), f"{kind}_large": whole[large].astype("<u8")}
+        _write(path, f"{level}-{part}", written)
+        del written, every, to_h, to_c, c, sums
+        # Grams whose context is starts alone, more than one, serve the lower orders only.
+        own = g[1] != START if level > 1 else np.ones(len(h), bool)
+        m = count[own]
+        found = [level, int(raw.sum()), len(h), int(m.sum()), *(int((m == k).sum()) for k in (1, 2, 3, 4)), int((m >= 3).sum())]
+        rows = [(-1, 0, 0, np.array(found, "<i8").tobytes(), b"", b"", b"", b"")]
+        if level > 1:
+            low = bits[level - 2]
+            lower, at, (lower_raw, before, whole) = _summed(_hash(g[1:]), raw, np.ones(len(h), np.int64), count)
+            rows += _dealt(g[1:, at], lower, lower_raw, np.where(g[1, at] == START, whole, before), low)
+            c, _, sums = _summed(_hash(g[:-1, own]), m, *(x.astype(np.int64) for x in (m == 1, m == 2, m >= 3)))
+            cuts = np.searchsorted(_top(c, low), np.arange((1 << low) + 1))
+            rows += [(k, 1, b - a, c[a:b].tobytes(), *(_narrow(s[a:b]) for s in sums)) for k, (a, b) in enumerate(zip(cuts[:-1], cuts[1:], strict=True)) if a < b]
+        return _sent(rows)
+
+    def merging(level: int) -> Callable[[pa.Table], pa.Table]:
+        def of_level(t: pa.Table) -> pa.Table:
+            return merged(level, t)
+
+        return of_level
+
+    dealt = text.mapInArrow(counted, DDL)
+    for level in range(order, 0, -1):
+        dealt = dealt.groupBy("part").applyInArrow(merging(level), DDL)
+    found = np.zeros((order + 1, 8), np.int64)
+    for row in dealt.select("a").collect():  # a row for each of a few dealings
+        level, *sums = np.frombuffer(row.a, "<i8").tolist()
+        found[level] += sums
+    tokens, words, total, m1, m2, m3, m4, m3up = found[1].tolist()
     d = discounts([m1, m2, m3, m4])
-    return Model(path, bits, word_bits, tokens, words, pairs_, rare[4], discounts(rare[:4]), d, (d[0] * m1 + d[1] * m2 + d[2] * m3up) / pairs_ if pairs_ else 1.0)
+    higher = [discounts(found[k][3:7].tolist()) for k in range(2, order + 1)]
+    return Model(path, order, bits, tokens, words, total, (d, *higher), (d[0] * m1 + d[1] * m2 + d[2] * m3up) / total if total else 1.0)
 
 
 def score(docs: DataFrame, model: Model) -> DataFrame:

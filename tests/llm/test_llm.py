@@ -150,6 +150,19 @@ def test_secret_spans(spark):
     assert key not in secrets.redacted(table(spark, [text]), "[x]").first().text
 
 
+def test_secrets_without_digits(spark):
+    rng = random.Random(4)
+    letters = "abcdefghijklmnopqrstuvwxyzABCDEFGHIJKLMNOPQRSTUVWXYZ"
+    keys = ["".join(rng.choices(letters[: 26 * (1 + k % 2)], k=40)) for k in range(100)] + ["".join(rng.choices(letters, k=23)) + "7" for _ in range(100)]
+    plain = "internationalization_of_identifiers Donaudampfschifffahrtsgesellschaft anticonstitutionnellement electroencefalografista getElementsByTagName LICENSE_AGREEMENT_TEXT usr/local/share/doc/package"
+    rules = " ".join(c * 30 for c in "=-_+/xX") + " " + "=-" * 12
+    rows = secrets.scan(table(spark, [*keys, plain, rules])).orderBy("doc_id").collect()
+    assert sum(r.n_markov for r in rows[:-2]) >= 190
+    assert rows[-2].spans == rows[-1].spans == ""
+    text = secrets.redacted(table(spark, [f"key {keys[-1]} end"]), "[x]").first().text
+    assert text == "key [x] end"
+
+
 def test_search_equals_brute_force(spark, texts):
     docs = table(spark, texts)
     got = {(r.query_id, r["rank"]): (r.doc_id, round(r.score * 1e6)) for r in search.search(docs, docs.where("doc_id % 20 = 0"), k=5, shard_words=4000).collect()}

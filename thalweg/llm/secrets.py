@@ -2,8 +2,8 @@
 
 The base spans are those of three patterns. Beside them, every run of token characters long enough to hold a key is
 scored by two first-order Markov models over characters, one trained from samples labelled random, one from samples
-labelled ordinary: its log-likelihood ratio a character, above a threshold, adds a span of kind markov. A run that
-overlaps a base span is left to it. The scan is a map over whole texts, without a shuffle.
+labelled ordinary: its log-likelihood ratio a character, above a threshold, adds a span of kind markov; nothing else is
+asked of a run, digits or not. A run that overlaps a base span is left to it. The scan is a map over whole texts, without a shuffle.
 
 Null texts count as empty; null or repeated ids and further columns change nothing; every row gives one row. Offsets
 are code points, end exclusive.
@@ -68,17 +68,39 @@ ORDINARY = (
     "variable version vertex view virtual visitor volume warning widget window worker wrapper writer"
 ).split()
 
+#: Words of running text, of which its longest words and runs without blanks are made.
+PROSE = (
+    "although another because before between children country different everything government however important information international "
+    "nevertheless notwithstanding particular people possible question responsibility something straightforward through together understanding "
+    "understand university weather whether without worthwhile yesterday knowledge neighbourhood characteristic thought themselves "
+    "aber arbeit bedeutung beziehung bundesregierung durch einschliesslich entwicklung erfahrung freundschaft gemeinschaft geschwindigkeit "
+    "gesellschaft gleichzeitig herausforderung jahrhundert krankenversicherung landschaft menschen moeglichkeit nachrichten oeffentlichkeit "
+    "rechtswissenschaft schliesslich selbstverstaendlich sprache staatsangehoerigkeit unterschied verantwortung verschiedene wahrscheinlich "
+    "wirtschaft wissenschaft zusammenarbeit zwischen einheit freiheit sicherheit zukunft ueberzeugung auch keine sich nicht "
+    "actuellement aujourdhui beaucoup bonheur chaleureux citoyennete cependant connaissance developpement egalement environnement evenement "
+    "gouvernement habituellement heureux immediatement maintenant malheureusement nombreux nouvelle particulierement pourquoi quelquefois "
+    "quelque rapprochement reconnaissance renseignement serieux toujours travail travaux lieux mieux vieux eaux leurs parmi elle "
+    "actualmente administracion ademas ahora ayuntamiento caracteristicas ciudadanos conocimiento construccion desarrollo desgraciadamente "
+    "ejercicio entonces especialmente espectaculo extraordinario independientemente investigacion mientras muchachos naturaleza necesidades "
+    "nosotros posibilidades principalmente pueblo querido respuesta siguiente tambien todavia trabajadores universidades veces ellos alegria"
+).split()
+
 
 def labelled_samples(rows: int = 6000, seed: int = 11) -> list[tuple[str, int]]:
-    """(string, 1 if random): keys over usual alphabets, and identifiers and compounds of ordinary words."""
+    """(string, 1 if random): keys over usual alphabets, and identifiers, compounds, words of prose and repeated signs."""
     rng = random.Random(seed)
     lower, upper, digits = "abcdefghijklmnopqrstuvwxyz", "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "0123456789"
-    alphabets = (lower + digits, upper + digits, lower + upper + digits, lower + upper + digits + "+/", lower + upper + digits + "_-", "abcdef" + digits)
+    alphabets = (lower + digits, upper + digits, lower + upper + digits, lower + upper + digits + "+/", lower + upper + digits + "_-", "abcdef" + digits, lower + upper, lower, upper)
     out = [("".join(rng.choices(alphabets[k % len(alphabets)], k=rng.randint(16, 64))), 1) for k in range(rows)]
     for k in range(rows):
         words = rng.choices(ORDINARY, k=rng.randint(2, 4))
         joined = ("_".join(words), "".join(words), "".join(w.title() for w in words), "-".join(words), "_".join(words).upper(), "/".join(words))[k % 6]
         out.append((joined + (str(rng.randint(1, 2030)) if rng.random() < 0.15 else ""), 0))
+        spoken = rng.choices(PROSE, k=rng.randint(1, 3))
+        out.append((("".join(spoken), "".join(w.title() for w in spoken), "-".join(spoken), "".join(spoken).capitalize(), "".join(spoken).upper())[k % 5], 0))
+        if k % 10 == 0:
+            out.append((rng.choice(ALPHABET) * rng.randint(16, 64), 0))
+            out.append(("".join(rng.choices("=-_+/", k=2)) * rng.randint(8, 32), 0))
     return out
 
 
@@ -109,12 +131,11 @@ class MarkovRatio:
 
 
 def added_spans(text: str, base: list[tuple[int, int, int]], model: MarkovRatio, threshold: float = THRESHOLD) -> list[tuple[int, int, int]]:
-    """Runs that look random and meet no base span. Ordinary prose has no digits within its words, so a run needs some."""
+    """Runs that look random and meet no base span. The ratio alone decides."""
     out = []
     for m in RUN.finditer(text):
         a, b = m.span()
-        run = m[0]
-        if sum(map(run.count, "0123456789")) >= 2 and not any(s < b and a < e for s, _, e in base) and model.ratio(run) > threshold:
+        if not any(s < b and a < e for s, _, e in base) and model.ratio(m[0]) > threshold:
             out.append((a, 3, b))
     return out
 

@@ -3,8 +3,10 @@
 import hashlib
 import random
 import re
+import textwrap
 import zlib
 from collections import Counter
+from importlib import resources
 
 import numpy as np
 import pytest
@@ -250,6 +252,16 @@ def test_licenses(spark):
     assert said[0].digest == said[1].digest and said[2].digest == said[3].digest != said[0].digest and said[4].digest is None
 
 
+def test_licenses_wrapped_and_whole(spark):
+    texts = {name: text for name, text in reversed(license_texts.TEXTS)}
+    wrapped = [(name, "Copyright (c) 2020, Some One <a@b.c>\nCopyright The Example Authors.\nAll rights reserved.\n\n" + re.sub(r" (copyright)\b", r"\n\1", texts[name], flags=re.I)) for name in ("MIT", "ISC", "BSD-2-Clause", "BSD-3-Clause", "Unlicense")]
+    folder = resources.files("thalweg.llm").joinpath("full_texts")
+    whole = [(f.name.removesuffix(".txt"), f.read_text("utf-8")) for f in folder.iterdir()]
+    whole += [(name, "\n\n".join(textwrap.fill(x, width, break_long_words=False, break_on_hyphens=False) for x in text.split("\n\n"))) for name, text in whole if name in ("Apache-2.0", "CC0-1.0", "MPL-2.0") for width in (50, 70, 100)]
+    rows = licenses.scan(table(spark, [t for _, t in wrapped + whole])).orderBy("doc_id").collect()
+    assert [r.license for r in rows] == [name for name, _ in wrapped + whole]
+
+
 def test_toxicity_learns_from_positives_and_unlabelled(spark):
     rng = random.Random(5)
     rows = [(k, " ".join(rng.choices([f"w{j}" for j in range(200)], k=40)) + (" vileness" if k % 8 == 0 else "")) for k in range(400)]

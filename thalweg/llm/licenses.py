@@ -11,6 +11,8 @@ further columns change nothing: one row out for each row in. Known texts with on
 
 from __future__ import annotations
 
+from importlib import resources
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -21,8 +23,20 @@ SPELLINGS = (
     ("licence", "license"), ("licences", "licenses"), ("licenced", "licensed"), ("licencing", "licensing"), ("sub license", "sublicense"), ("non commercial", "noncommercial"),
     ("merchantibility", "merchantability"), ("organisation", "organization"), ("favour", "favor"), ("centre", "center"), ("whilst", "while"), ("copyright holder", "copyright owner"), ("copyright holders", "copyright owners"),
 )
-#: A line that only says who holds the copyright.
+#: Words after "copyright" or "(c)" that go on with a sentence, where a holder's name would stand.
+SENTENCE = (
+    "and any applies are as be but claims? disclaimer doctrines for from had has have holders? if in included includes including infringement information interests? is laws? lines? "
+    "licen[cs]es? may must nor not notices? of on or owners? ownership permissions? protections? representations resulting rights? shall statements? status that the_library the_licen[cs]es? this to treaty under which will with without you"
+).replace(" ", "|").replace("_", " +")
+#: A line that only says who holds the copyright: a year or a sign and what follows, or a short name; never a sentence that a wrap begins with the word.
+HOLDER_LINE = (
+    r"(?m)^[^a-z0-9\n]*(?:portions )?(?:(?:copyright\b|\(c\)|©)[ \t:,]*(?:\(c\)|©)?[ \t:,]*(?:by[ \t]+)?[<\[{(]?(?:[0-9]{4}|year|yyyy)\b[^\n]{0,200}"
+    r"|copyright[ \t:,]*(?:\(c\)|©)[^\n]{0,200}|©[^\n]{0,200}"
+    rf"|(?:copyright|\(c\))[ \t:]+(?!(?:{SENTENCE})\b)[^\s]+(?:[ \t]+[^\s]+){{0,7}}[ \t]*|all rights reserved[^a-z0-9\n]*)$"
+)
+#: The same in the SQL, which drops every line that begins with the word.
 COPYRIGHT_LINE = r"(?m)^[^a-z0-9\n]*(copyright|\(c\)|©|portions copyright|all rights reserved)[^\n]*$"
+END = "END OF TERMS AND CONDITIONS"
 NOT_WORD = r"[^\p{L}\p{N}]+"
 WORD_SIGN = r"[\p{L}\p{N}]"
 
@@ -30,7 +44,7 @@ WORD_SIGN = r"[\p{L}\p{N}]"
 def canonical(text: Column) -> Column:
     """The text's canonical form. A copyright line is dropped only where other lines remain to judge by."""
     low = F.lower(F.regexp_replace(text, "\r\n?", "\n"))
-    rest = F.regexp_replace(low, COPYRIGHT_LINE, " ")
+    rest = F.regexp_replace(low, HOLDER_LINE, " ")
     judged = F.when(F.regexp_like(rest, F.lit(WORD_SIGN)), rest).otherwise(low)
     form = F.concat(F.lit(" "), F.trim(F.regexp_replace(judged, NOT_WORD, " ")), F.lit(" "))
     for other, one in SPELLINGS:
@@ -43,10 +57,17 @@ def digest(form: Column) -> Column:
 
 
 def known_texts(spark: SparkSession) -> DataFrame:
-    """license and text of the built-in licences and notices."""
+    """license and text of the built-in licences and notices; of long licences the files, whole and up to the end of their terms."""
     from .license_texts import TEXTS
 
-    return spark.range(1).select(F.inline(F.array(*[F.struct(F.lit(name).alias("license"), F.lit(text).alias("text")) for name, text in TEXTS])))
+    known = list(TEXTS)
+    for file in sorted(resources.files(__package__).joinpath("full_texts").iterdir(), key=lambda f: f.name):
+        name, text = file.name.removesuffix(".txt"), file.read_text("utf-8")
+        known.append((name, text))
+        if END in text:
+            known.append((name, text[: text.index(END)]))
+            known.append((name, text[: text.index(END) + len(END)]))
+    return spark.range(1).select(F.inline(F.array(*[F.struct(F.lit(name).alias("license"), F.lit(text).alias("text")) for name, text in known])))
 
 
 def scan(docs: DataFrame, known: DataFrame | None = None) -> DataFrame:

@@ -30,3 +30,12 @@ def test_hilbert_visits_neighbours(spark):
     order = sorted((x.hilbert, x.r, x.c) for x in earth.with_hilbert(cells, "r", "c", 3).collect())
     assert [h for h, _, _ in order] == list(range(64))
     assert all(abs(a[1] - b[1]) + abs(a[2] - b[2]) == 1 for a, b in zip(order, order[1:]))
+
+
+def test_view_holds_every_basin_of_a_quarter_cell(spark):
+    # 300 basins of one 4 x 4 cell each: sixteen pixels, four and three.
+    sizes = [16] * 250 + [4] * 30 + [3] * 20
+    pixels = spark.createDataFrame([(4 * k + j // 4, j % 4, k + 1) for k, n in enumerate(sizes) for j in range(n)], "row long, col long, basin_id long")
+    ids = basins.ids_of_view(pixels.groupBy("basin_id").agg(F.count("*").alias("grid_count")), 4)
+    assert ids == 280
+    assert sorted(r.basin_id for r in basins.fold_view(pixels, 4, ids).collect()) == list(range(1, 281))

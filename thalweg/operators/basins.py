@@ -54,6 +54,11 @@ def fold_view(pixels: DataFrame, factor: int, ids: int) -> DataFrame:
     return land.where((F.col("land") * 100 >= 25 * factor * factor) & (-F.col("best.less") * 100 >= 25 * F.col("land"))).select("crow", "ccol", F.col("best.basin_id").alias("basin_id"))
 
 
+def ids_of_view(ranked: DataFrame, factor: int) -> int:
+    """How many basins hold at least a quarter of a cell's pixels; ranked by their pixels, they are the ids 1 to that."""
+    return ranked.where(F.col("grid_count") * 4 >= factor * factor).count()
+
+
 def adjacent(cells: DataFrame) -> DataFrame:
     """(a, b), a < b: objects that touch on cells, corners included."""
     ahead = F.inline(F.array(*[F.struct(F.lit(r).alias("dr"), F.lit(c).alias("dc")) for r, c in ((0, 1), (1, -1), (1, 0), (1, 1))]))

@@ -264,6 +264,12 @@ def fold_basin_view(spark, sf_dir):
     return basins.fold_view(grid.labelled(spark, sf_dir), 5, 200)
 
 
+@query("""SELECT crow, ccol, basin_id FROM (SELECT *, row_number() OVER (PARTITION BY crow, ccol ORDER BY n DESC, basin_id) AS k FROM cells WHERE basin_id <= (SELECT count(*) FROM ranked WHERE grid_count * 4 >= 25))
+    WHERE k = 1 AND land * 100 >= 25 * 25 AND n * 100 >= 25 * land""")
+def fold_basin_view_by_area(spark, sf_dir):
+    return basins.fold_view(grid.labelled(spark, sf_dir), 5, basins.ids_of_view(basins.ranked(grid.attributes(spark, sf_dir)), 5))
+
+
 @query("SELECT DISTINCT least(a.basin_id, b.basin_id) AS a, greatest(a.basin_id, b.basin_id) AS b FROM view a JOIN view b ON abs(a.crow - b.crow) <= 1 AND abs(a.ccol - b.ccol) <= 1 AND a.basin_id <> b.basin_id")
 def object_adjacency(spark, sf_dir):
     return basins.adjacent(basins.fold_view(grid.labelled(spark, sf_dir), 5, 200))

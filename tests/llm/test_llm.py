@@ -178,6 +178,28 @@ def test_search_equals_brute_force(spark, texts):
         assert all(abs(got[q, r][1] - points[k]) <= len(tf[q]) for r, k in enumerate(best, 1))
 
 
+def test_search_prunes_exactly(spark):
+    # Many documents share frequent words; some rows repeat, as does one query's id; shards end within a task.
+    rng = random.Random(21)
+    common, rare = [f"c{k}" for k in range(25)], [f"r{k}" for k in range(400)]
+    texts = [" ".join(rng.choices(common, k=rng.randint(5, 80)) + rng.choices(rare, k=rng.randint(0, 6))) for _ in range(1500)]
+    rows = [(k, t) for k, t in enumerate(texts)] + [(None, texts[0]), (40, texts[3]), (7, texts[7]), (1501, texts[20]), (1600, texts[20])]
+    docs = spark.createDataFrame(rows, "doc_id long, text string").repartition(3)
+    found = {}
+    for r in search.search(docs, docs.where("doc_id % 20 = 0"), k=7, shard_words=9000).collect():
+        found.setdefault(r.query_id, []).append((r["rank"], r.doc_id, round(r.score * 1e6)))
+    own = [(k, Counter(t.encode().split())) for k, t in rows if k is not None]
+    n, df = len(own), Counter(w for _, c in own for w in c)
+    mean = sum(sum(c.values()) for _, c in own) / n
+    for q in sorted({k for k, _ in own if k % 20 == 0}):
+        asked = sum((c for k, c in own if k == q), Counter())
+        weight = {w: m * np.log(1 + (n - df[w] + 0.5) / (df[w] + 0.5)) for w, m in asked.items()}
+        points = [(-sum(int(np.floor(weight[w] * (f * 2.2 / (f + 1.2 * (0.25 + 0.75 * sum(c.values()) / mean))) * 1e6 + 0.5)) for w, f in c.items() if w in weight), k) for k, c in own]
+        got = sorted(found[q])
+        assert [r for r, _, _ in got] == list(range(1, 8))
+        assert all(abs(-p - x) <= 60 for (p, _), (_, _, x) in zip(sorted(points)[:7], got, strict=True))
+        assert {d for _, d, _ in got} <= {k for p, k in points if -p >= got[-1][2] - 60}
+
 def test_weighted_sampling_estimates_likeness(spark, texts):
     rows = {r.doc_id: r for r in weighted_sampling.fingerprints(table(spark, texts)).collect()}
     texts = [t or "" for t in texts]

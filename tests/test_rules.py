@@ -1,8 +1,11 @@
+import math
+
 import pytest
 from pyspark.sql import functions as F
 
 from thalweg.functions import earth
 from thalweg.operators import basins, flow
+from thalweg.plans import grid
 
 
 def test_cycle_is_refused(spark):
@@ -11,6 +14,7 @@ def test_cycle_is_refused(spark):
         flow.fold(ring, {}, {})
 
 
+# Counts with what they round to, and cells' shares with their winner, as published data have them.
 def test_upstream_counts_round_half_up(spark):
     cases = [(1.0, 1), (1.4, 1), (1.5, 2), (1.6, 2), (2.5, 3), (0.9, 0), (0.0, 0), (-1.0, 0), (float("nan"), 0), (9e18, 0), (1.79e308, 0), (7.0, 7)]
     rows = spark.createDataFrame(cases, "v double, want long").select(earth.upstream_count_of(F.col("v")).alias("got"), "want").collect()
@@ -39,3 +43,34 @@ def test_view_holds_every_basin_of_a_quarter_cell(spark):
     ids = basins.ids_of_view(pixels.groupBy("basin_id").agg(F.count("*").alias("grid_count")), 4)
     assert ids == 280
     assert sorted(r.basin_id for r in basins.fold_view(pixels, 4, ids).collect()) == list(range(1, 281))
+
+
+def test_products_follow_the_table(spark, tmp_path):
+    def write(rows):
+        spark.createDataFrame([(k, float(k % 13)) for k in range(1, rows)], "o_orderkey long, o_totalprice double").coalesce(1).write.mode("overwrite").parquet(f"{tmp_path}/orders.parquet")
+        return sum(k % 29 != 0 for k in range(1, rows))
+
+    for rows in (300, 900):
+        land = write(rows)
+        assert grid.links(spark, str(tmp_path)).count() == land == grid.attributes(spark, str(tmp_path)).count()
+
+
+def test_distances_and_areas_of_the_earth(spark):
+    def between(*at):
+        return earth.distance_m(*[F.lit(float(v)) for v in at])
+
+    degree = math.pi / 180 * 6378137  # of the equator
+    steps = earth.step_lengths_m(F.lit(0), 0.5, 1.0)  # row 0 lies on the equator
+    r = spark.range(1).select(between(0, 0, 0, 1).alias("east"), between(0, 179.5, 0, -179.5).alias("seam"), between(7, 3, 7, 3).alias("none"), between(59.5, 0, 60.5, 0).alias("north"), *[v.alias(k) for k, v in steps.items()]).first()
+    assert r.none == 0 and r.east == pytest.approx(degree, rel=1e-4) and r.seam == pytest.approx(r.east, rel=1e-9) and r.ew == pytest.approx(r.east, rel=1e-9)
+    assert r.north == pytest.approx(111412.9, rel=1e-4)  # the meridian's arc about 60 degrees on WGS84
+    assert r.n == pytest.approx(r.s, rel=1e-9) and r.nd == pytest.approx(r.sd, rel=1e-9) and r.ew < r.nd < r.n + r.ew
+    lat = F.col("id") - 89.5
+    exact, series = spark.range(180).agg(F.sum(earth.pixel_area_m2(lat, 1.0, 1.0)), F.sum(earth.pixel_area_m2_merit(lat, 1.0, 1.0))).first()
+    assert 360 * exact == pytest.approx(5.10065622e14, rel=1e-6)  # the area of the WGS84 ellipsoid
+    assert series == pytest.approx(exact, rel=5e-3)
+
+
+def test_regions_stand_by_unit(spark):
+    rows = spark.createDataFrame([(r,) for r in (13, 1299, 12, 1201, 1300)], "region long").orderBy(earth.region_order(F.col("region"))).collect()
+    assert [r.region for r in rows] == [12, 1201, 1299, 13, 1300]

@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-from functools import lru_cache
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -43,7 +42,7 @@ def _network(spark: SparkSession, sf_dir: str) -> DataFrame:
     return grid.tiled(a.join(large, "root").select("pix", "row", "col", "down", "up_count", "root"))
 
 
-@lru_cache(maxsize=4)
+@grid.product
 def _pieces(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame, DataFrame]:
     net = cut(_network(spark, sf_dir))
     flow = net.drop("root")

@@ -1,8 +1,14 @@
-"""The test grid over the orders table, and its products, made once for each session and input."""
+"""The test grid over the orders table, and its products.
+
+A product is made once for each state of the input: it is remembered together with the names, lengths and times of the
+table's files, so a table that was replaced is read anew.
+"""
 
 from __future__ import annotations
 
-from functools import lru_cache
+from collections import OrderedDict
+from collections.abc import Callable
+from functools import wraps
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -17,6 +23,42 @@ CHANNEL = 5
 TILE = 512
 
 
+#: Products held at once; the one used longest ago goes first.
+HELD = 16
+_held: OrderedDict = OrderedDict()
+
+
+def _state(spark: SparkSession, path: str) -> tuple[tuple[str, int, int], ...]:
+    """Name, length and time of each file of a table, as the file system that Spark reads names them."""
+    at = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    files, out = at.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).listFiles(at, True), []
+    while files.hasNext():
+        f = files.next()
+        out.append((f.getPath().toString(), f.getLen(), f.getModificationTime()))
+    return tuple(sorted(out))
+
+
+def product[T](make: Callable[[SparkSession, str], T]) -> Callable[[SparkSession, str], T]:
+    """make(spark, sf_dir), remembered while the session and the files of the orders table stay as they are."""
+
+    @wraps(make)
+    def made(spark: SparkSession, sf_dir: str) -> T:
+        key = (make.__module__, make.__name__, spark.sparkContext.applicationId, _state(spark, f"{sf_dir}/orders.parquet"))
+        if key not in _held:
+            _held[key] = make(spark, sf_dir)
+            while len(_held) > HELD:
+                _held.popitem(last=False)
+        _held.move_to_end(key)
+        return _held[key]
+
+    return made
+
+
+def forget() -> None:
+    """Drop every product, so that the next query makes its own."""
+    _held.clear()
+
+
 def surface(spark: SparkSession, sf_dir: str) -> DataFrame:
     o = spark.read.parquet(f"{sf_dir}/orders.parquet").select("o_orderkey", "o_totalprice").where("o_orderkey % 29 <> 0")
     row = F.expr(f"o_orderkey div {COLS}")
@@ -27,13 +69,9 @@ def step_cm(code: str = "code") -> F.Column:
     return F.when(F.col(code).isin(1, 4, 16, 64), STRAIGHT_CM).when(F.col(code).isin(2, 8, 32, 128), DIAGONAL_CM).otherwise(0).cast("long")
 
 
-@lru_cache(maxsize=4)
-def _links(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return cut(flow.steepest_descent(surface(spark, sf_dir)))
-
-
+@product
 def links(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return _links(spark, sf_dir)
+    return cut(flow.steepest_descent(surface(spark, sf_dir)))
 
 
 def tiled(links: DataFrame, side: int = TILE) -> DataFrame:
@@ -42,7 +80,7 @@ def tiled(links: DataFrame, side: int = TILE) -> DataFrame:
     return links.select("*", tile("pix").alias("tile"), tile("down").alias("down_tile"))
 
 
-@lru_cache(maxsize=4)
+@product
 def attributes(spark: SparkSession, sf_dir: str) -> DataFrame:
     """pix, row, col, code, down, root, hops, ldn (cm), up_count, up_area (m2) and lup (cm) of every land pixel."""
     own = links(spark, sf_dir).select("*", step_cm().alias("cm"), F.lit(1).alias("one"), (F.lit(900) + F.col("row") % 7).alias("area"))
@@ -50,7 +88,7 @@ def attributes(spark: SparkSession, sf_dir: str) -> DataFrame:
     return cut(links(spark, sf_dir).join(found.withColumnRenamed("up_ldn", "lup"), "pix"))
 
 
-@lru_cache(maxsize=4)
+@product
 def labelled(spark: SparkSession, sf_dir: str) -> DataFrame:
     """pix, row, col, root, basin_id and code (a level-3 code by blocks, 0 where there is none)."""
     a = attributes(spark, sf_dir).select("pix", "row", "col", "root")
@@ -58,7 +96,7 @@ def labelled(spark: SparkSession, sf_dir: str) -> DataFrame:
     return cut(a.join(basins.ranked(a).select(F.col("outlet_pix").alias("root"), "basin_id"), "root").select("pix", "row", "col", "root", "basin_id", code.alias("code")))
 
 
-@lru_cache(maxsize=4)
+@product
 def channels(spark: SparkSession, sf_dir: str) -> DataFrame:
     """pix, down, root, up_count and head (1 where no channel flows in) of pixels with CHANNEL or more above."""
     c = attributes(spark, sf_dir).where(F.col("up_count") >= CHANNEL).select("pix", "down", "root", "up_count")
@@ -66,6 +104,7 @@ def channels(spark: SparkSession, sf_dir: str) -> DataFrame:
     return cut(c.join(fed, "pix", "left").select("pix", "down", "root", "up_count", F.coalesce("fed", F.lit(1)).alias("head")))
 
 
+# The D8 codes with their row and column steps, in o(code, dr, dc) below.
 #: The same grid, paths and products in DuckDB's SQL, for the oracle. w holds all pairs (src, cur) along paths.
 ORACLE = f"""
     WITH RECURSIVE g AS (SELECT o_orderkey AS pix, o_orderkey // {COLS} AS "row", o_orderkey % {COLS} AS col, o_totalprice - 200000 * (o_orderkey // {COLS}) AS z FROM orders WHERE o_orderkey % 29 <> 0),

@@ -8,8 +8,11 @@ from pyspark.sql import DataFrame
 
 
 def cut(df: DataFrame) -> DataFrame:
-    """checkpoint() into spark.checkpoint.dir; a folder of our own only where it is unset."""
+    """checkpoint() into spark.checkpoint.dir; where it is unset, into a folder of our own in local mode, else an error."""
     sc = df.sparkSession.sparkContext
     if not sc._jsc.sc().getCheckpointDir().isDefined():
-        sc.setCheckpointDir(sc.getConf().get("spark.checkpoint.dir") or f"file://{tempfile.mkdtemp(prefix='thalweg-')}")
+        where = sc.getConf().get("spark.checkpoint.dir")
+        if not where and not sc.master.startswith("local"):
+            raise ValueError("spark.checkpoint.dir must name a folder that driver and executors share")
+        sc.setCheckpointDir(where or f"file://{tempfile.mkdtemp(prefix='thalweg-')}")
     return df.checkpoint()

@@ -16,6 +16,8 @@ neighbour. Empty tables give no rows; further columns change nothing.
 
 from __future__ import annotations
 
+import math
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -41,16 +43,23 @@ def value(r: Column, log_c: Column, beta: Column, log_weight: Column) -> Column:
     return log_c - r * (F.floor(log_weight / r + beta).cast("double") - beta + 1)
 
 
-def _ranges(rows: DataFrame) -> tuple[Column, int]:
-    """The range of a row's id, and how many there are: some for each shuffle partition. Nulls make range -1."""
-    low, high = rows.agg(F.min("doc_id"), F.max("doc_id")).first()
+def _ranges(rows: DataFrame) -> Column:
+    """The range of a row's id, ascending: some for each shuffle partition, of about as many rows each, whatever the ids.
+
+    The bounds are the ids' approximate quantiles; where they lie changes no result. Nulls make range -1. Rows of one id
+    share a range.
+    """
     count = 8 * int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    if low is None:
-        return F.lit(-1), 1
-    at = F.floor((F.col("doc_id").cast("decimal(20,0)") - F.lit(low)) * count / F.lit(high - low + 1)).cast("int")
-    if high - low < 1 << 40:
-        at = F.floor((F.col("doc_id") - F.lit(low)) * F.lit(count) / F.lit(high - low + 1)).cast("int")
-    return F.coalesce(at, F.lit(-1)), count
+    cuts = rows.agg(F.percentile_approx("doc_id", [k / count for k in range(1, count)], 4 * count)).first()[0]
+    if not cuts:
+        return F.when(F.col("doc_id").isNull(), -1).otherwise(0)
+    bounds = sorted(set(cuts))
+    step = math.isqrt(len(bounds)) + 1
+    listed = lambda values: F.array(*[F.lit(c) for c in values]).cast("array<long>")
+    passed = lambda values: F.size(F.filter(values, lambda c: c <= F.col("doc_id")))
+    # Of every step-th bound first, then of those up to the next of them.
+    coarse = passed(listed(bounds[step - 1 :: step])) * step
+    return F.when(F.col("doc_id").isNull(), -1).otherwise(coarse + passed(F.slice(listed(bounds), coarse + 1, step)))
 
 
 def _followed_by(first: DataFrame, value_: str) -> DataFrame:
@@ -66,8 +75,7 @@ def _followed_by(first: DataFrame, value_: str) -> DataFrame:
 def edited(docs: DataFrame) -> DataFrame:
     """range, row (within it), doc_id, n_chars, text and edited_text: the last quarter replaced by the start of the next document."""
     rows = id_and_text(docs)
-    at, _ = _ranges(rows)
-    rows = rows.select(at.alias("range"), "doc_id", "text")
+    rows = rows.select(_ranges(rows).alias("range"), "doc_id", "text")
     least = rows.groupBy("range").agg(F.min("doc_id").alias("least_id"))
     # Broadcast: a row for each range, 8 for each shuffle partition.
     heads = rows.alias("a").join(F.broadcast(least).alias("b"), (F.col("a.range") == F.col("b.range")) & F.col("doc_id").eqNullSafe(F.col("least_id"))).groupBy("a.range").agg(F.min("text").alias("text"))

@@ -24,6 +24,7 @@ import atexit
 import os
 import shutil
 import tempfile
+import uuid
 from collections.abc import Callable, Iterator
 from dataclasses import dataclass
 
@@ -141,9 +142,10 @@ def _write(path: str, name: str, arrays: dict[str, np.ndarray]) -> None:
     where.create_dir(root)
     for kind, a in arrays.items():
         whole = f"{root}/{name}.{kind}"
-        with where.open_output_stream(f"{whole}.{os.getpid()}") as out:
+        own = f"{whole}.{uuid.uuid4().hex}"  # no two attempts share a name, on whatever hosts
+        with where.open_output_stream(own) as out:
             out.write(np.ascontiguousarray(a).tobytes())
-        where.move(f"{whole}.{os.getpid()}", whole)  # a task that runs again writes the same bytes
+        where.move(own, whole)  # a task that runs again writes the same bytes
 
 
 _MAPPED: dict[str, str] = {}

@@ -26,6 +26,23 @@ def id_and_text(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text")
     return docs.select(F.col(f"`{id_col}`").cast("long").alias("doc_id"), F.coalesce(F.col(f"`{text_col}`").cast("string"), F.lit("")).alias("text"))
 
 
+def free_name(df: DataFrame, name: str) -> str:
+    """name, with as many underscores before it as it takes to be no column of the table, in whatever case."""
+    taken = {c.lower() for c in df.columns}
+    while name.lower() in taken:
+        name = "_" + name
+    return name
+
+
+def own_columns(df: DataFrame) -> list[Column]:
+    """All columns of the table, dots in their names and all."""
+    return [F.col(quoted(c)) for c in df.columns]
+
+
+def quoted(name: str) -> str:
+    return "`" + name.replace("`", "``") + "`"
+
+
 def crc_mod(doc_id: str | Column, modulus: int) -> Column:
     """crc32 of the id as text, modulo `modulus`; a null id counts as the empty text."""
     c = F.col(doc_id) if isinstance(doc_id, str) else doc_id
@@ -33,10 +50,12 @@ def crc_mod(doc_id: str | Column, modulus: int) -> Column:
 
 
 def shared_folder(spark: SparkSession) -> str:
-    """The folder that driver and executors share: spark.checkpoint.dir, and one of our own only where it is unset."""
+    """The folder that driver and executors share: spark.checkpoint.dir; one of our own where it is unset, in local mode alone."""
     where = spark.sparkContext.getConf().get("spark.checkpoint.dir") or spark.conf.get("spark.checkpoint.dir", None)
     if not where:
         have = spark.sparkContext._jsc.sc().getCheckpointDir()
+        if not have.isDefined() and not spark.sparkContext.master.startswith("local"):
+            raise ValueError("spark.checkpoint.dir must name a folder that driver and executors share")
         where = have.get() if have.isDefined() else f"file://{tempfile.mkdtemp(prefix='thalweg-')}"
         if not have.isDefined():
             spark.sparkContext.setCheckpointDir(where)

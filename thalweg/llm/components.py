@@ -25,7 +25,8 @@ def _small_star(edges: DataFrame) -> DataFrame:
 def stars(edges: DataFrame) -> DataFrame:
     """(u, v) for every node u but the least of its component, with v the least: one row each.
 
-    edges: longs u and v. Rounds grow with the logarithm of the longest chain. Minima are partly aggregated before
+    edges: longs u and v, neither null (rows with a null are no links and join nothing); repeated links count once, and a
+    table without rows gives none. Rounds grow with the logarithm of the longest chain. Minima are partly aggregated before
     the shuffle, and the joins back are equi-joins whose large partitions adaptive execution splits. Each round is
     written into the shared folder, so a lost executor costs its own tasks and no more.
     """

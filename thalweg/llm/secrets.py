@@ -22,7 +22,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import id_and_text
+from .common import free_name, id_and_text, quoted
 
 KINDS = ("assign", "access", "hex", "markov")
 ASSIGN = re.compile(r"""(?i:password|passwd|secret|token|api_?key)["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)""", re.ASCII)
@@ -172,10 +172,12 @@ def redacted(docs: DataFrame, mark: str, samples: list[tuple[str, int]] | None =
         return without(text, spans, mark) if spans else text
 
     replaced = F.pandas_udf(lambda texts: texts.map(clean), "string").asNondeterministic()(F.col("text"))  # evaluated once a row
-    new = docs.select("*", replaced.alias("_thalweg_text"))
-    changed = ~F.col("text").eqNullSafe(F.col("_thalweg_text"))
-    own = {"text": F.col("_thalweg_text"), "n_chars": F.when(changed, F.length("_thalweg_text")).otherwise(F.col("n_chars")).cast("long")} if "n_chars" in docs.columns else {"text": F.col("_thalweg_text")}
-    return new.select(*[own[c].alias(c) if c in own else F.col(f"`{c}`") for c in docs.columns])
+    made = free_name(docs, "_thalweg_text")
+    new = docs.select("*", replaced.alias(made))
+    own = {"text": F.col(made)}
+    if "n_chars" in docs.columns:
+        own["n_chars"] = F.when(F.col("text").eqNullSafe(F.col(made)), F.col("n_chars")).otherwise(F.length(made)).cast("long")
+    return new.select(*[own[c].alias(c) if c in own else F.col(quoted(c)) for c in docs.columns])
 
 
 def without(text: str, spans: list[tuple[int, int, int]], mark: str) -> str:

@@ -10,7 +10,8 @@ links' connected components are the result.
 More fingerprints mean more, and so longer, dealing bits: from 13 bits at five copies a fingerprint to 32 at seventy.
 
 Null texts count as empty: no words, fingerprint zero, linked like any other. Null ids take part; a group's id is its
-smallest id, null only where no row has one. Repeated rows and further columns change nothing.
+smallest id, null only where no row has one. Repeated rows and further columns, whatever their names, change nothing.
+Very long texts are read whole. A table without rows gives none.
 """
 
 from __future__ import annotations
@@ -24,7 +25,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import id_and_text, keep
+from .common import free_name, id_and_text, keep, own_columns, quoted
 from .components import stars
 
 SHINGLE = 4
@@ -178,16 +179,20 @@ def links(distinct: DataFrame, rows: int, errors: int = ERRORS) -> DataFrame:
             at = np.flatnonzero(group != np.arange(len(group)))
             return pa.RecordBatch.from_arrays([pa.array(fp[at]), pa.array(fp[group[at]])], names=["u", "v"])
 
-        held_k, held_f = np.zeros(0, np.int64), np.zeros(0, np.int64)
+        held: list[tuple[np.ndarray, np.ndarray]] = []
+        size = 0
         for b in batches:
-            held_k = np.concatenate([held_k, b.column(0).to_numpy()])
-            held_f = np.concatenate([held_f, b.column(1).to_numpy()])
-            if len(held_k) >= 1 << 16 and held_k[0] != held_k[-1]:
-                cut = int(np.flatnonzero(held_k != held_k[-1])[-1]) + 1
-                yield linked(held_k[:cut], held_f[:cut])
-                held_k, held_f = held_k[cut:], held_f[cut:]
-        if len(held_k):
-            yield linked(held_k, held_f)
+            if not b.num_rows:
+                continue
+            held.append((b.column(0).to_numpy(), b.column(1).to_numpy()))
+            size += len(held[-1][0])
+            if size >= 1 << 16 and held[0][0][0] != held[-1][0][-1]:  # joined only where a key ends
+                keys, fp = (np.concatenate(x) for x in zip(*held, strict=True))
+                cut = int(np.flatnonzero(keys != keys[-1])[-1]) + 1
+                yield linked(keys[:cut], fp[:cut])
+                held, size = [(keys[cut:], fp[cut:])], len(keys) - cut
+        if size:
+            yield linked(*(np.concatenate(x) for x in zip(*held, strict=True)))
 
     return dealt.mapInArrow(joined, "u long, v long")
 
@@ -218,17 +223,19 @@ def one_of_each(docs: DataFrame, errors: int = ERRORS, shingle: int = SHINGLE) -
     own_id = F.col("doc_id").eqNullSafe(F.col("component_id"))
     # Rows are counted over all groups: an id that is the smallest of one may be in another too.
     kept = keep(marked.join(named, "fp").groupBy("doc_id").agg(F.count("*").alias("rows"), F.bool_or(own_id).alias("first")).where("first"), "kept")
+    own = own_columns(docs)
+    id_, times, fp, root, whole = (free_name(docs, f"_thalweg_{n}") for n in ("id", "rows", "fp", "root", "row"))
     # The ids that stay grow with the corpus: they are merged with the rows at every size, never broadcast.
-    ids = kept.select(F.col("doc_id").alias("_thalweg_id"), F.col("rows").alias("_thalweg_rows")).hint("merge")
-    rows = docs.join(ids, F.col("doc_id").cast("long") == F.col("_thalweg_id"))
-    alone = rows.where("_thalweg_rows = 1").select(docs.columns)
+    ids = kept.select(F.col("doc_id").alias(id_), F.col("rows").alias(times)).hint("merge")
+    rows = docs.join(ids, F.col("doc_id").cast("long") == F.col(id_))
+    alone = rows.where(F.col(times) == 1).select(own)
     if not kept.where("rows > 1 or doc_id is null").limit(1).count():
         return alone
     # Ids that several rows share, and rows without one: the least row of each group, by the fingerprint of its text.
-    shared = rows.where("_thalweg_rows > 1").select(docs.columns).unionByName(docs.where(F.col("doc_id").cast("long").isNull()))
-    marked = shared.withColumn("_thalweg_fp", F.pandas_udf(lambda t: t.fillna("").map(lambda x: np.uint64(fingerprint(x, shingle)).astype(np.int64)), "long")(F.col("text")))
-    roots = named.select(F.col("fp").alias("_thalweg_fp"), F.col("root").alias("_thalweg_root"), F.col("component_id").alias("_thalweg_id"))
-    own = marked.join(roots, "_thalweg_fp").where(F.col("doc_id").cast("long").eqNullSafe(F.col("_thalweg_id")))
-    row = F.struct(F.coalesce("text", F.lit("")), *[F.col(f"`{c}`") for c, kind in docs.dtypes if not kind.startswith("map")])
-    least = own.groupBy("_thalweg_root").agg(F.min_by(F.struct(*[F.col(f"`{c}`") for c in docs.columns]), row).alias("_thalweg_row"))
-    return alone.unionByName(least.select("_thalweg_row.*"))
+    shared = rows.where(F.col(times) > 1).select(own).unionByName(docs.where(F.col("doc_id").cast("long").isNull()))
+    printed = F.pandas_udf(lambda t: t.fillna("").map(lambda x: np.uint64(fingerprint(x, shingle)).astype(np.int64)), "long")
+    roots = named.select(F.col("fp").alias(fp), F.col("root").alias(root), F.col("component_id").alias(id_))
+    again = shared.withColumn(fp, printed(F.col("text"))).join(roots, fp).where(F.col("doc_id").cast("long").eqNullSafe(F.col(id_)))
+    order = F.struct(F.coalesce("text", F.lit("")), *[F.col(quoted(c)) for c, kind in docs.dtypes if "map<" not in kind])
+    least = again.groupBy(root).agg(F.min_by(F.struct(*own), order).alias(whole))
+    return alone.unionByName(least.select(*[F.col(whole)[c].alias(c) for c in docs.columns]))

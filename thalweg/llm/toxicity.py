@@ -5,10 +5,14 @@ texts of the whole corpus. The risk weighs both by the class prior: the positive
 unlabelled texts less what positives add to it, which is kept from falling below zero. Every whole text is then scored
 in one map over rows.
 
-The fit reads a bounded sample, by hash of the id: at most MAX_POSITIVE confirmed texts and MAX_UNLABELLED others; the
-class prior counts all labels. Null texts count as empty and score like any text without known words. Null labels are
-no labels; of repeated labels of a document the highest holds. Without any confirmed text every score is 0. Null ids,
-repeated rows and further columns change nothing: each row gets one score from its text alone.
+The fit reads a bounded sample, by hash of the id: the texts of at most MAX_POSITIVE confirmed ids and MAX_UNLABELLED
+others, one row for each id (of repeated ids the least text); the class prior counts all labels. At most MAX_FEATURES
+features get a weight, those that tell the sample's two kinds apart best: a bound of the fitted model, whatever the
+input's size; every feature of a text that has a weight counts in its score. Null texts count as empty and score like
+any text without known words. Very long texts are scored whole; in the fit each counts once, by the set of its
+features. Null labels are no labels; of repeated labels of a document the highest holds. Without any confirmed text
+every score is that of the bias alone, 6e-6. Null ids, repeated rows and further columns, whatever their names, change
+nothing: each row gets one score from its text alone. A table without rows gives none.
 """
 
 from __future__ import annotations
@@ -23,7 +27,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import crc_mod, id_and_text
+from .common import crc_mod, free_name, id_and_text
 
 MAX_POSITIVE = 3000
 MAX_UNLABELLED = 9000
@@ -119,7 +123,8 @@ def train(docs: DataFrame, labels: DataFrame, fold: tuple[int, int] | None = Non
     positive = some(known.where("toxic = 1"), MAX_POSITIVE).withColumn("kind", F.lit(1))
     chosen = positive.unionByName(some(ids, MAX_UNLABELLED).withColumn("kind", F.lit(0)))
     # Broadcast: MAX_POSITIVE + MAX_UNLABELLED rows at most.
-    sample = text.join(F.broadcast(chosen), "doc_id").select("kind", "text")
+    taken = text.join(F.broadcast(chosen.select("doc_id").distinct()), "doc_id").groupBy("doc_id").agg(F.min("text").alias("text"))  # one row an id
+    sample = taken.join(F.broadcast(chosen), "doc_id").select("kind", "text")
 
     def hashes(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
@@ -160,5 +165,5 @@ def without_toxic(docs: DataFrame, weights: Weights, threshold: float = 0.7) ->
     """The rows, with all their columns, that score under the threshold."""
     flag = F.pandas_udf(lambda texts: texts.fillna("").map(weights.score), "double")
     flag = flag.asNondeterministic()  # evaluated once a row
-    mark = "_thalweg_toxic"
+    mark = free_name(docs, "_thalweg_toxic")
     return docs.withColumn(mark, flag(F.col("text"))).where(F.col(mark) < threshold).drop(mark)

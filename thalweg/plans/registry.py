@@ -294,11 +294,17 @@ def preview_decimate(spark, sf_dir):
     return grid.labelled(spark, sf_dir).where("row % 30 = 0 and col % 30 = 0").select("pix", "basin_id")
 
 
-@query(None)
+# The curve's recurrence in SQL, a level at a time.
+_HILBERT = grid.ORACLE + """, hil AS (SELECT DISTINCT "row" // 10 AS crow, col // 10 AS ccol, "row" // 10 AS r, col // 10 AS c, CAST(0 AS BIGINT) AS h, 10 AS level FROM lab UNION ALL
+    SELECT crow, ccol, CASE WHEN (r >> level) & 1 = 0 THEN CASE WHEN (c >> level) & 1 = 1 THEN 2047 - c ELSE c END ELSE r END, CASE WHEN (r >> level) & 1 = 0 THEN CASE WHEN (c >> level) & 1 = 1 THEN 2047 - r ELSE r END ELSE c END,
+        h + (CAST(1 AS BIGINT) << (2 * level)) * xor(3 * ((c >> level) & 1), (r >> level) & 1), level - 1 FROM hil WHERE level >= 0) """
+
+
+@query(_HILBERT + "SELECT crow, ccol, h AS hilbert FROM hil WHERE level = -1")
 def hilbert_index(spark, sf_dir):
     cells = grid.labelled(spark, sf_dir).select(F.expr("row div 10").alias("crow"), F.expr("col div 10").alias("ccol")).distinct()
     return earth.with_hilbert(cells, "crow", "ccol", 11)
 
 
 # These add their own queries.
-from thalweg.plans import cutting, tables  # noqa: E402, F401
+from thalweg.plans import cutting, regions, tables  # noqa: E402, F401

@@ -4,7 +4,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from thalweg.functions import earth
-from thalweg.operators import basins, flow
+from thalweg.operators import basins, cutting, flow
 from thalweg.plans import grid
 
 
@@ -74,3 +74,23 @@ def test_distances_and_areas_of_the_earth(spark):
 def test_regions_stand_by_unit(spark):
     rows = spark.createDataFrame([(r,) for r in (13, 1299, 12, 1201, 1300)], "region long").orderBy(earth.region_order(F.col("region"))).collect()
     assert [r.region for r in rows] == [12, 1201, 1299, 13, 1300]
+
+def test_pieces_are_numbered_without_rounds_of_jobs(spark):
+    # Two basins of a chain and a fork, and one piece whose lower one is not there.
+    rows = [(5, 11, None), (5, 12, 11), (5, 13, 12), (5, 14, 13), (5, 15, 13), (9, 1, None), (9, 4, 1), (9, 2, 1), (9, 3, 2), (12, 7, 8)]
+    spark.sparkContext.setJobGroup("numbered", "")
+    got = {tuple(r) for r in cutting.levels_of(spark.createDataFrame(rows, "root long, code long, next_code long")).collect()}
+    jobs = len(spark.sparkContext.statusTracker().getJobIdsForGroup("numbered"))
+    spark.sparkContext.setLocalProperty("spark.jobGroup.id", None)
+    assert got == {(5, 14, 1, 1), (5, 15, 1, 2), (5, 13, 2, 3), (5, 12, 3, 4), (5, 11, 4, 5), (9, 3, 1, 1), (9, 4, 1, 2), (9, 2, 2, 3), (9, 1, 3, 4), (12, 7, 1, 1)}
+    assert jobs <= 4  # a fold took dozens
+    with pytest.raises(Exception, match="cycle"):
+        cutting.levels_of(spark.createDataFrame([(1, 1, 2), (1, 2, 1)], "root long, code long, next_code long")).collect()
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", 3)  # basins that batches cut
+    try:
+        many = [(b, c, c // 2 or None) for b in range(40) for c in range(1, b + 2)]
+        found = cutting.levels_of(spark.createDataFrame(many, "root long, code long, next_code long")).collect()
+    finally:
+        spark.conf.unset("spark.sql.execution.arrow.maxRecordsPerBatch")
+    assert all((r.level == 1) == (2 * r.code > r.root + 1) for r in found)
+    assert sorted((r.root, r.number) for r in found) == sorted((b, c) for b, c, _ in many)

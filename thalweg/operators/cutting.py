@@ -6,8 +6,10 @@ cut at the outlets known so far. What it keeps apart are tables of outlets, whic
 
 from __future__ import annotations
 
-from collections.abc import Callable
+from collections.abc import Callable, Iterator
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -69,12 +71,59 @@ def table(made: DataFrame, labelled: DataFrame, flow: DataFrame) -> DataFrame:
     return own.join(into, ["root", "code"], "left").join(found, ["root", "code"], "left").select("root", "code", "pix", "next_code", (F.col("up_count") - F.coalesce("come", F.lit(0))).alias("expected"), F.coalesce("labelled", F.lit(0).cast("long")).alias("labelled"))
 
 
+def _whole(batches: Iterator[pa.RecordBatch]) -> Iterator[list[np.ndarray]]:
+    """root, code and next_code (-1: none) of some basins at a time, none of them cut, from rows by basin."""
+
+    def columns(t: pa.Table) -> list[np.ndarray]:
+        return [c.fill_null(-1).to_numpy() for c in t.columns]
+
+    held: list[pa.RecordBatch] = []
+    for b in batches:
+        if not b.num_rows:
+            continue
+        root = b.column(0).to_numpy()
+        last = int(np.searchsorted(root, root[-1]))
+        if held and (last or held[-1].column(0)[-1].as_py() != root[0]):
+            ready = pa.Table.from_batches([*held, b.slice(0, last)])
+            held = []
+            yield columns(ready)
+            held.append(b.slice(last))
+        elif last:
+            yield columns(pa.Table.from_batches([b.slice(0, last)]))
+            held.append(b.slice(last))
+        else:
+            held.append(b)
+    if held:
+        yield columns(pa.Table.from_batches(held))
+
+
 def levels_of(pieces_table: DataFrame) -> DataFrame:
     """(root, code, level, number): 1 + the longest chain of pieces that flow in; numbers 1..n of a basin by (level, code).
 
-    A basin has at most 9 ** levels pieces, so the window over one basin is bounded.
+    A basin has at most 9 ** levels pieces and its chains stay within it, so basins are dealt whole and numbered some
+    at a time. A chain that never ends raises.
     """
-    name = lambda c: F.concat_ws(":", F.col("root").cast("string"), F.col(c).cast("string"))
-    chain = pieces_table.select(name("code").alias("pix"), F.when(F.col("next_code").isNotNull(), name("next_code")).alias("down"), F.lit(1).alias("one"), "root", "code")
-    up = fold(chain, {"steps": "one"}, {}, longest="steps").select("pix", (F.col("up_steps") + 1).alias("level"))
-    return chain.join(up, "pix").select("root", "code", "level", F.row_number().over(Window.partitionBy("root").orderBy("level", "code")).cast("long").alias("number"))
+
+    def levelled(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for root, code, below in _whole(batches):
+            basin = np.cumsum(np.concatenate([[0], root[1:] != root[:-1]]))
+            span = max(int(code.max()), int(below.max())) + 2
+            key = basin * span + code
+            to = np.searchsorted(key, basin * span + below)
+            flows = (below >= 0) & (key[np.minimum(to, len(key) - 1)] == basin * span + below)
+            level, live = np.ones(len(key), np.int64), np.flatnonzero(flows)
+            for _ in range(len(key) + 1):  # those whose level rose pass it on
+                if not len(live):
+                    break
+                before = level.copy()
+                np.maximum.at(level, to[live], level[live] + 1)
+                live = np.flatnonzero((level > before) & flows)
+            else:
+                raise ValueError("the pieces have a cycle")
+            order = np.lexsort((code, level, basin))
+            number = np.empty(len(key), np.int64)
+            number[order] = np.arange(len(key)) - np.searchsorted(basin, basin) + 1  # order keeps each basin's places
+            yield pa.RecordBatch.from_arrays([pa.array(x) for x in (root, code, level, number)], names=["root", "code", "level", "number"])
+
+    own = pieces_table.select(*[F.col(c).cast("long") for c in ("root", "code", "next_code")])
+    return own.repartition("root").sortWithinPartitions("root", "code").mapInArrow(levelled, "root long, code long, level long, number long")

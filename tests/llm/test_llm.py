@@ -1,6 +1,7 @@
 """Each text operator against brute force or an exact rule, on small tables with nulls, ties and repeats."""
 
 import hashlib
+import math
 import random
 import re
 import textwrap
@@ -301,3 +302,22 @@ def test_quality_separates(spark):
     got = {r.doc_id: r.score for r in quality.classify(docs, labels, "quality", (4, 2)).collect()}
     assert all((got[k] >= 0.7) == (k % 4 != 0) for k in range(200)) and 0 <= got[None] <= 1
     assert quality.isotonic(np.array([0.0, 1, 2]), np.array([1.0, 0, 2]), np.ones(3))[1].tolist() == [0.5, 2.0]
+
+
+def test_search_answers_many_queries_at_once_as_brute_force_does():
+    rng = np.random.default_rng(5)
+    words = np.array([b"w%d" % i for i in range(300)])
+    texts = [b" ".join(words[np.minimum(rng.zipf(1.3, n) - 1, 299)]).decode() for n in rng.integers(1, 60, 700)]
+    shard = search.Shard(30.0)
+    for i, text in enumerate(texts):
+        shard.add(1000 - i, text)
+    shard.close()
+    assert 0 < shard.frequent < 300
+    asked = [([*dict.fromkeys(x.encode().split()), b"absent"], rng.random(len(set(x.split())) + 1) * 5) for x in texts[: 2 * search.TOGETHER + 3]] + [([b"absent"], np.ones(1))]
+    parts = []
+    for text in texts:
+        tf, n = Counter(text.encode().split()), len(text.split())
+        parts.append({w: c * (search.K1 + 1) / (c + search.K1 * (1 - search.B + search.B * n / 30.0)) for w, c in tf.items()})
+    for (terms, weights), (ids, points) in zip(asked, shard.tops(asked, 7), strict=True):
+        every = sorted((-sum(math.floor(w * p[t] * search.UNIT + 0.5) for t, w in zip(terms, weights, strict=True) if t in p), 1000 - i) for i, p in enumerate(parts))
+        assert [(-p, i) for i, p in zip(ids.tolist(), points.tolist(), strict=True)] == [x for x in every[:7] if x[0] < 0]

@@ -321,3 +321,13 @@ def test_search_answers_many_queries_at_once_as_brute_force_does():
     for (terms, weights), (ids, points) in zip(asked, shard.tops(asked, 7), strict=True):
         every = sorted((-sum(math.floor(w * p[t] * search.UNIT + 0.5) for t, w in zip(terms, weights, strict=True) if t in p), 1000 - i) for i, p in enumerate(parts))
         assert [(-p, i) for i, p in zip(ids.tolist(), points.tolist(), strict=True)] == [x for x in every[:7] if x[0] < 0]
+
+
+def test_weighted_sampling_passes_over_words_without_changing_a_sample(spark, texts):
+    pairs = weighted_sampling.edited(table(spark, texts))
+    every = sorted(map(str, weighted_sampling.signatures(pairs, likely=None).drop("sure").collect()))
+    # At 1 most texts have a sample that no word is likely enough for, and are done again.
+    assert not weighted_sampling.signatures(pairs, likely=1.0).where("not sure").isEmpty()
+    assert weighted_sampling.signatures(pairs).where("not sure").isEmpty()
+    for likely in (1.0, weighted_sampling.LIKELY):
+        assert sorted(map(str, weighted_sampling.sure_signatures(pairs, likely=likely).collect())) == every

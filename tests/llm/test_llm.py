@@ -2,6 +2,7 @@
 
 import hashlib
 import math
+import os
 import random
 import re
 import textwrap
@@ -10,6 +11,7 @@ from collections import Counter
 from importlib import resources
 
 import numpy as np
+import pyarrow as pa
 import pytest
 import xxhash
 
@@ -331,3 +333,42 @@ def test_weighted_sampling_passes_over_words_without_changing_a_sample(spark, te
     assert weighted_sampling.signatures(pairs).where("not sure").isEmpty()
     for likely in (1.0, weighted_sampling.LIKELY):
         assert sorted(map(str, weighted_sampling.sure_signatures(pairs, likely=likely).collect())) == every
+
+
+def test_language_model_takes_few_bytes_and_deals_frequent_words_without_changing_a_score(spark, monkeypatch):
+    rng = random.Random(8)
+    texts = [" ".join(rng.choice(("of", "the", f"w{int(rng.paretovariate(0.4)) % 20000}")) for _ in range(400)) for _ in range(150)]
+    texts += ["", None, "the", "of the of the"]
+    docs, models = table(spark, texts), {}
+    for sample in (1, 10**9):  # all documents say which words are frequent; none does
+        monkeypatch.setattr(language_model, "SAMPLE", sample)
+        models[sample] = language_model.train(docs)
+    assert len(models[1].finer) >= 2 and not len(models[10**9].finer)
+    got = [[tuple(r) for r in language_model.score(docs, m).orderBy("doc_id").collect()] for m in models.values()]
+    assert got[0] == got[1]
+    said = [[None, None, *(t or "").encode().split(), b" "] for t in texts]
+    grams = sum(len({tuple(t[k - n + 1 : k + 1]) for t in said for k in range(2, len(t))}) for n in (2, 3))
+    for m in models.values():
+        root = language_model._local(m.path)
+        files = [f for f in os.listdir(root) if f.split("-")[0] != "1" and not f.endswith(".crc")]
+        assert sum(os.path.getsize(f"{root}/{f}") for f in files) < 9.2 * grams
+
+
+def test_language_model_messages_and_tables_give_back_what_they_hold(tmp_path):
+    rng = np.random.default_rng(4)
+    words = rng.integers(0, 2**64, 500, np.uint64)
+    for n in (1, 2, 3, 4):
+        grams = np.unique(words[np.minimum(rng.zipf(1.2, (n, 4000)) - 1, 499)], axis=1)
+        count = rng.zipf(1.5, grams.shape[1]).astype(np.int64) % 10**9
+        packed = language_model._packed_grams(grams, count, count + 1)
+        got, counts = language_model._unpacked_grams(pa.scalar(packed, pa.binary()), n)
+        assert sorted(zip(*got.tolist(), *(c.tolist() for c in counts), strict=True)) == sorted(zip(*grams.tolist(), count.tolist(), (count + 1).tolist(), strict=True))
+        assert n < 3 or len(packed) < 11 * grams.shape[1]
+    for size in (0, 1, 3, 5000):
+        h = np.unique(rng.integers(0, 2**64, size, np.uint64))
+        columns = [rng.zipf(1.2, len(h)).astype(np.int64) % 10**12 for _ in range(2)]
+        language_model._write(f"file://{tmp_path}", f"t-{size}", h, columns)
+        asked = np.unique(np.append(h, rng.integers(0, 2**64, 1000, np.uint64)))
+        rows = language_model._Table(f"{tmp_path}/t-{size}").rows(asked, 2)
+        there = np.isin(asked, h)
+        assert (rows[there] == np.stack(columns, axis=1)).all() and not rows[~there].any()

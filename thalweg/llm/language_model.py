@@ -9,7 +9,7 @@ sent on too and added up there. Which words those are changes the dealing alone,
 are merged one by one: for each n-gram without its first word, how often it occurs and after how many different words;
 for each without its last word, how many different words follow it once, twice and more often. Scoring is a map over
 documents whose workers memory-map the tables, wherever the model is larger than memory, and look up each block's
-distinct n-grams in sorted order.
+distinct n-grams by part.
 
 A table holds its n-grams' hashes in order: the leading bits by the place (starts of short buckets, as what they differ
 from even ones), the next 40 bits in five bytes; and one byte that numbers the commonest rows of counts, the others in
@@ -50,7 +50,7 @@ from .common import id_and_text, shared_path
 START, END = (np.uint64(xxhash.xxh64_intdigest(x)) for x in (b"  ", b" "))  # no word has white space
 ORDER = 3
 #: Tokens that a worker takes at once, to score and to count.
-BLOCK, COUNTED = 1_500_000, 3_000_000
+BLOCK, COUNTED = 1_300_000, 3_000_000
 APART = 255  # the number of rows of counts that are kept in full
 #: The counts of a context that one word follows once. Most do, and are left out: the highest order's contexts are the
 #: grams of the order before it that end no document.
@@ -145,7 +145,7 @@ def _packed_grams(grams: np.ndarray, *counts: np.ndarray) -> bytes:
     rank[by] = np.arange(len(by))
     at = rank[at.reshape(grams.shape)]
     first, second = (1, 0) if len(at) > 2 else (0, len(at) - 1)  # the word between, by which grams are dealt, varies least
-    order = np.lexsort((at[second], at[first]))
+    order = np.argsort(at[first] * len(by) + at[second])
     at = at[:, order]
     new = np.diff(at[first], prepend=-1) != 0
     steps = np.where(new, at[second], np.diff(at[second], prepend=0))
@@ -190,6 +190,8 @@ def _sent(rows: list[tuple]) -> pa.Table:
 
 def _by_part(part: np.ndarray) -> Iterator[tuple[int, np.ndarray]]:
     """Each part that there is, and where."""
+    if len(part) and part.max() < 1 << 16:
+        part = part.astype(np.uint16)  # sorted by digits
     order = np.argsort(part, kind="stable")
     cuts = np.append(_runs(part[order]), len(part)).tolist()
     for a, b in itertools.pairwise(cuts):
@@ -215,7 +217,7 @@ def _after(h: np.ndarray, count: np.ndarray) -> tuple[np.ndarray, np.ndarray, li
 
 def _numbered(values: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """Distinct values, and which of them each is."""
-    found = pa.array(values).dictionary_encode()
+    found = pa.array(np.ascontiguousarray(values)).dictionary_encode()
     return found.dictionary.to_numpy(), found.indices.to_numpy()
 
 
@@ -235,7 +237,10 @@ def _write(path: str, name: str, h: np.ndarray, columns: list[np.ndarray]) -> No
     mixed = np.zeros(n, np.uint64)  # rows apart by a hash, and compared with what it stands for
     for column in columns:
         mixed = _mix(mixed, column.astype(np.uint64))
-    _, where, back, often = np.unique(mixed, return_index=True, return_inverse=True, return_counts=True)
+    _, back = _numbered(mixed)
+    often = np.bincount(back)
+    where = np.empty(len(often), np.int64)
+    where[back] = np.arange(n)  # any place of each
     common = np.argsort(-often, kind="stable")[:APART]
     number = np.full(len(often), APART)
     number[common] = np.arange(len(common))
@@ -299,7 +304,7 @@ class _Table:
         self.rest = section(f"<u{rest}", apart, self.columns)
 
     def rows(self, h: np.ndarray, columns: int) -> np.ndarray:
-        """The rows of counts of distinct hashes in order; zeros where there is none."""
+        """The rows of counts of hashes; zeros where there is none."""
         out = np.zeros((len(h), columns), np.int64)
         if not self.n:
             return out
@@ -353,9 +358,7 @@ class Model:
         """Rows of counts of distinct n-grams, by hashes and the parts of the table that hold them."""
         root = _local(self.path)
         out = np.zeros((len(h), columns), np.int64)
-        order = np.argsort(h)
-        for k, at in _by_part(part[order]):
-            at = order[at]
+        for k, at in _by_part(part):
             out[at] = _Table(f"{root}/{table}-{k}").rows(h[at], columns)
         return out
 
@@ -392,14 +395,15 @@ class Model:
         for order in range(2, self.order + 1):
             # The context; one start alone serves the second order only, and in higher ones any row stands for more of them.
             before = np.where(place >= 1, np.roll(own, 1), start if order == 2 else 0)
-            total, n1, n2, n3 = rows[before, 1:5].T
+            d = np.array([0.0, *self.discounts[order - 1]])
+            total, n1, n2, n3 = rows[:, 1:5].T
+            rest = np.where(total > 0, (d[1] * n1 + d[2] * n2 + d[3] * n3) / np.maximum(total, 1), 1.0)[before]
+            total = np.maximum(total, 1)[before]
             pairs, own = _numbered(own.astype(np.int64) * len(words) + np.where(place >= order - 1, np.roll(number, order - 1), start))
             grams = np.concatenate([words[None, pairs % len(words)], grams[:, pairs // len(words)]])
             rows = self.rows(grams)
-            count = rows[own, 0]
-            d = np.array([0.0, *self.discounts[order - 1]])
-            rest = np.where(total > 0, (d[1] * n1 + d[2] * n2 + d[3] * n3) / np.maximum(total, 1), 1.0)
-            p = np.where(place >= order - 2, np.maximum(count - d[np.minimum(count, 3)], 0) / np.maximum(total, 1) + rest * p, p)
+            count = rows[:, 0]
+            p = np.where(place >= order - 2, np.maximum(count - d[np.minimum(count, 3)], 0)[own] / total + rest * p, p)
         base = np.log10((known + 1) / (self.tokens + self.words + 1))
         return np.add.reduceat((known > 0).astype(np.int64), first), np.add.reduceat(base, first), np.add.reduceat(np.log10(p), first)
 
